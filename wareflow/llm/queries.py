@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embeddings, langid, pii, simhash, suffixes, toxicity
+from . import bpe, chat, decontam, embeddings, langid, licenses, pii, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(_table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_embedding_near_dedup, op4_chat_formatting, op6_suffix_array_dedup, op7_pii_surrogates, op8_toxicity, op9_simhash_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_embedding_near_dedup, op4_chat_formatting, op5_license_scan, op6_suffix_array_dedup, op7_pii_surrogates, op8_toxicity, op9_simhash_near_dedup, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
