@@ -1,0 +1 @@
+"""Catalog analytics on Spark: functions, sources, operators, plans and streaming jobs."""
