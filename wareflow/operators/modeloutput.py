@@ -31,7 +31,7 @@ def _typed(m: Column, fallback_category: Column) -> Column:
 
     def items(k: str) -> Column:
         array = F.when(raw(k).startswith("["), F.from_json(raw(k), "array<string>")).when(text(k).isNotNull(), F.array(text(k)))
-        return F.coalesce(F.filter(F.transform(array, F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+        return F.coalesce(F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
     cat = F.lower(text("category"))
     safe = F.when(fallback_category.isin(*CATEGORIES), fallback_category).otherwise("other")
