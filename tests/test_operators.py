@@ -281,3 +281,13 @@ def test_step_and_url_streams(spark, tmp_path):
     got = []
     jobs.drain(read("u", u), lambda batch, k: got.append(batch.count()), str(tmp_path / "cp_drain")).awaitTermination(120)
     assert sum(got) == 4
+
+
+def test_cells_find_nearest(spark):
+    from wareflow.plans import registry, retrieval  # noqa: F401
+
+    for sf in ("sf0.001", "sf0.01"):
+        t = registry.Tables(spark, f"/root/testdata/{sf}")
+        got = {(r.query_id, r.vec_id) for r in retrieval.cosine_cells(t).collect()}
+        want = {(r.query_id, r.vec_id) for r in search.cosine_top_k(retrieval.every_twentieth(t), t.embeddings, 5).collect()}
+        assert len(got & want) >= 0.9 * len(want)

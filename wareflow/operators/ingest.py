@@ -142,3 +142,13 @@ def counters(counts: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def expected_values(rows: DataFrame) -> DataFrame:
+    """(product_id, expected): long rows that a product's specifications stand for, null elements of lists counted too.
+
+    A check against ``spec_values``, which leaves null elements out, so the two differ where a list holds one.
+    """
+    flat = rows.select(F.col("id").alias("product_id"), F.explode("normalized_specs").alias("k", "v")).where(~F.col("k").isin("warnings", "confidence") & F.col("v").isNotNull())
+    n = F.when(F.col("v").rlike(r"^\s*\["), F.size(F.from_json("v", "array<string>"))).otherwise(1)
+    return flat.groupBy("product_id").agg(F.sum(n).alias("expected"))

@@ -90,3 +90,32 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: in
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = v.join(F.broadcast(q.where("q IS NOT NULL"))).select("query_id", "vec_id", F.round(dot, 6).alias("cosine"))
     return top_k(scored, "query_id", k, [F.desc("cosine"), F.col("vec_id")])
+
+
+def cell_index(vectors: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 7):
+    """(vectors with a cell, model): k-means over unit vectors, fitted on about ``sample_rows`` rows, every row in a cell.
+
+    Store the result partitioned by ``cell``. Zero and null vectors are left out, as they have no cosine.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit_rows = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL").withColumn("features", array_to_vector("v"))
+    n = unit_rows.count()
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit_rows.where(draw < min(1.0, sample_rows / max(1, n))))
+    return model.transform(unit_rows).select("vec_id", "v", F.col("prediction").alias("cell")), model
+
+
+def probe_top_k(queries: DataFrame, index: DataFrame, model, k: int, probes: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k nearest vectors within the ``probes`` nearest cells of each query.
+
+    An equi-join on the cell. ``queries``: query_id, q. The centres (cells × dimensions numbers) are literals of the plan.
+    """
+    centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
+    q = queries.select("query_id", unit(F.col("q")).alias("q")).where("q IS NOT NULL")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct((-dot(F.col("q"), c["c"])).alias("d"), c["cell"].alias("cell")))), 1, probes)
+    spread = q.select("query_id", "q", F.explode(near).alias("p")).select("query_id", "q", "p.cell")
+    scored = spread.join(index, "cell").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
+    return top_k(scored, "query_id", k, [F.desc("cosine"), F.col("vec_id")])

@@ -273,3 +273,10 @@ def search_documents(t: Tables):
 @query("SELECT id, replace(replace(printf('%,d', price_vnd), ',', '.'), ' ', '') || ' ₫' AS price_text, CASE stock_status WHEN 'in_stock' THEN 'Còn hàng' WHEN 'out_of_stock' THEN 'Hết hàng' ELSE 'Liên hệ' END AS stock_text FROM products", "products")
 def display_texts(t: Tables):
     return t.products.select("id", text.money(F.col("price_vnd")).alias("price_text"), text.stock_text(F.col("stock_status")).alias("stock_text"))
+
+
+@query(f"WITH {_SPECROWS} SELECT product_id, count(*) + CASE WHEN max(CASE WHEN spec_key = 'ram_gb' THEN 1 ELSE 0 END) = 1 THEN 3 ELSE 0 END AS expected FROM v GROUP BY 1", "specs")
+def expected_spec_rows(t: Tables):
+    """Expected long rows of each product; memory modules also have a list with a null element."""
+    pairs = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))) for k in SPEC_KEYS], F.when(F.col("ram_gb").isNotNull(), F.struct(F.lit("ports").alias("key"), F.lit('["a", null, "b"]').alias("value")))))
+    return ingest.expected_values(t.specs.select(F.col("product_id").alias("id"), F.map_from_entries(pairs).alias("normalized_specs")))
