@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -11,20 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Bytes of text that one numpy step works on; a longer single text is a step of its own.
-CHUNK_BYTES = 4 << 20
-
+from wareflow.session import importable as ready
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers find this package where it is installed at the driver's path.
+__all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch_path", "text_slices", "written"]
 
-    On a cluster whose nodes lack that path, ship the package with ``--py-files``.
-    """
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+#: Bytes of text that one numpy step works on; a longer single text is a step of its own.
+CHUNK_BYTES = 4 << 20
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,16 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return two.unionByName(pairs).unionByName(star).distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (doc_id, check, fp) of all documents, and the group of each fingerprint (fp, component, first_id)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text"))
+    rows = written(fingerprints(rows, words_per_shingle=words_per_shingle))
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comp = written(components(links(fps)))
+    groups = fps.join(comp, fps.fp == comp.node, "left").withColumn("component", F.coalesce("component", "fp"))
+    return rows, groups.select("fp", "component", "first_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): per row its SimHash and the least id reachable over links of two bits.
 
@@ -107,34 +117,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stay separate rows. Null ids get a component but never name one, unless it has no other id (then null).
     An empty table gives an empty result; further columns are ignored.
     """
-    rows = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words_per_shingle=words_per_shingle)
-    rows = written(rows)
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = written(components(links(fps)))
-    least = (
-        fps.join(comp, fps.fp == comp.node, "left")
-        .withColumn("component", F.coalesce("component", "fp"))
-        .select("fp", "component", "first_id")
-    )
-    named = least.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = least.join(named, "component").select("fp", "component_id")
+    rows, groups = _grouped(docs, doc_id, text, words_per_shingle)
+    named = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_fp = groups.join(named, "component").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one with the least id.
 
-    Fingerprints of five-word shingles by default. Of rows that repeat that id, the one with the least
-    text stays. Rows without an id or a word are no copies of anything and all stay.
+    Fingerprints of five-word shingles by default. Of different texts under one id in a group, one stays, and one
+    of rows that are equal. Rows without an id or a word are no copies of anything and all stay.
     """
     words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col(doc_id).isNotNull()
-    flag = free_name(docs, "component_id")
-    mark = near_duplicates(docs.where(words), doc_id, text, words_per_shingle).select("doc_id", F.col("component_id").alias(flag)).where(F.col("doc_id") == F.col(flag))
-    lead = docs.where(words).join(mark.select(F.col("doc_id").alias(flag)).distinct(), docs[doc_id] == F.col(flag), "left_semi")
-    order = free_name(docs, "row_order")
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(doc_id).orderBy(text, *[F.xxhash64(c) for c in docs.columns])
+    rows, groups = _grouped(docs.where(words), doc_id, text, words_per_shingle)
+    a, b, order = free_name(docs, "first_id"), free_name(docs, "first_check"), free_name(docs, "row_order")
+    first = rows.join(groups.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct("doc_id", "check")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias(a), F.col("m.check").alias(b)).distinct()
+    lead = docs.where(words).join(first, (docs[doc_id] == F.col(a)) & (F.xxhash64(docs[text]) == F.col(b)), "left_semi")
+    by = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(*[F.xxhash64(c) for c in docs.columns])
     lead = lead.withColumn(order, F.row_number().over(by)).where(F.col(order) == 1).drop(order)
     return lead.unionByName(docs.where(~words))
 
