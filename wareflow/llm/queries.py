@@ -68,5 +68,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_embedding_near_dedup, op4_chat_formatting, op5_license_scan, op6_suffix_array_dedup, op7_pii_surrogates, op8_toxicity, op9_simhash_near_dedup, op10_decontamination, pipeline)}
 
 
+_OP3 = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.reach),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT c.vec_id, COALESCE(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id"""
+
+
+def _op4() -> str:
+    def escaped(c: str) -> str:
+        out = f"replace({c}, '{chat.ESCAPE}', '{chat.ESCAPE * 2}')"
+        for control in chat.CONTROL:
+            out = f"replace({out}, '{control}', '{control[0]}{chat.ESCAPE}{control[1:]}')"
+        return out
+
+    frame = len(chat.START + chat.MIDDLE + chat.END)
+    return f"""WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+ COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+ CAST(sum({frame} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+_WORDS = "regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP10 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT item_id, w, least({decontam.WINDOW}, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - {decontam.WINDOW - 1}))) AS k FROM i WHERE len(w) > 0)),
+grams AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT r, p, n, item_id FROM grams JOIN win USING (n, g)),
+hw AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS x FROM hit) GROUP BY 1),
+it AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; the others are tested against libraries, brute force or held-out accuracy."""
+    return {"op3_embedding_near_dedup": _OP3, "op4_chat_formatting": _op4(), "op10_decontamination": _OP10}
