@@ -28,7 +28,7 @@ def test_language_accuracy(spark):
 
 def test_language_edges(spark):
     rows = [(i, t, l) for i in range(60) for t, l in [(f"the house and the garden {i}", "en"), (f"das haus und der garten {i}", "de")]]
-    rows = [(k, t, l) for k, (_, t, l) in enumerate(rows)] + [(500, None, "en"), (501, "", None), (502, "12 34 !!", "de"), (None, "the garden", "en"), (503, "und der garten " * 20000, None)]
+    rows = [(k, t, l) for k, (_, t, l) in enumerate(rows)] + [(500, None, "en"), (501, "", None), (502, "12 34 !! \u0301", "de"), (None, "the garden", "en"), (503, "und der garten " * 20000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("SCORE", F.lit(1))
     got = {r.doc_id: r for r in langid.report(df).collect()}
     assert len(got) == len(rows)

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .common import free_name, ready, text_slices
 
 BUCKETS = 1 << 16
-#: Training texts that the weights are fitted on, at most about so many for each language.
-PER_LANGUAGE = 1000
+#: Training texts that the weights are fitted on, at most about so many for each language and in all.
+PER_LANGUAGE, ALL_LANGUAGES = 1000, 8000
 UNKNOWN = "und"
 
 
@@ -37,8 +37,13 @@ def folded() -> np.ndarray:
     return out
 
 
-def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded characters of each text with single spaces between words and around the text, and text offsets."""
+@lru_cache(1)
+def is_letter() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool)
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded characters of each text with single spaces between words and around it, offsets, and numbers of letters."""
     lead = (data & 0xC0) != 0x80
     raw = data.tobytes()
     try:
@@ -46,6 +51,7 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     except UnicodeDecodeError:  # bytes that are not UTF-8 count as spaces
         cp, lead = np.where(data < 0x80, data, 32).astype(np.uint32), np.ones(len(data), bool)
     at = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    n_letters = np.diff(np.concatenate([[0], np.cumsum(is_letter()[cp])])[at])
     n = len(offsets) - 1
     out = np.full(len(cp) + 2 * n, 32, np.uint32)
     edge = at + 2 * np.arange(n + 1)
@@ -54,7 +60,7 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.zeros(len(out), bool)
     first[edge[:-1]] = True
     keep = first | (out != 32) | np.concatenate([[True], out[:-1] != 32])
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[edge], n_letters
 
 
 def buckets(cp: np.ndarray) -> list[np.ndarray]:
@@ -70,13 +76,13 @@ def buckets(cp: np.ndarray) -> list[np.ndarray]:
 
 def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text of a step: its buckets and how often each occurs; no letters give none."""
-    cp, at = letters(data, offsets)
+    cp, at, n_letters = letters(data, offsets)
     grams = buckets(cp)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a < 3:  # spaces only
+    for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), n_letters.tolist(), strict=True):
+        if not n:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        count = np.bincount(np.concatenate([g[a : b - n] for n, g in enumerate(grams)]), minlength=BUCKETS)
+        count = np.bincount(np.concatenate([g[a : b - k] for k, g in enumerate(grams)]), minlength=BUCKETS)
         where = np.flatnonzero(count)
         yield where, count[where]
 
@@ -147,7 +153,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit a model on ``docs`` (text, lang): all rows for document frequencies, a bounded sample for weights.
 
-    The sample takes of each language the rows of least text hash, about ``per_language`` of them, and of each of these
+    The sample takes of each language the rows of least text hash, about ``per_language`` of them (fewer with many languages), and of each of these
     texts a short piece too. Rows whose lang or text is null don't count. No rows give a model that knows no language.
     """
     ready(docs.sparkSession)
@@ -170,6 +176,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     model = Model(sorted(sizes), np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1)
     if not sizes:
         return model
+    per_language = min(per_language, max(1, ALL_LANGUAGES // len(sizes)))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = docs.where(draw < share[F.col("lang")])
