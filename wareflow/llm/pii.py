@@ -22,19 +22,20 @@ _TITLE = r"(?<![\p{L}\p{N}-])(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? "
 _NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]{0,28}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
-#: Kinds in order of precedence; each pattern starts at a boundary, so that scanning stays linear.
+#: Kinds in order of precedence. Each pattern starts at a boundary, so that scanning stays linear, and with cheap looks
+#: around, so that the long ones are tried at few places.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,256}+"
-    r"|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
+    "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?<=[=:]\s{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,256}+"
+    r"|(?<![A-Za-z0-9_])(?=[0-9A-Za-z_-]{20})(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])",
+    "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?=\d)(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]|\.\d)",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d))",
     "name": rf"(?=\p{{Lu}})(?:(?<={_TITLE}){_NAME}|(?<={_TITLE}\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,28}} ){_NAME})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 # Given names of the surrogates by gender and script, and syllables of their surnames.
 GIVEN = {
