@@ -251,6 +251,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",
     place = F.struct("doc_id", "check", "lo", "hi")
     stats = [F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")] + ([F.min(place).alias("lead")] if first_only else [])
     grams = occ.groupBy("gram").agg(*stats).where("n > 1").withColumn("mixed", F.col("c1") != F.col("c2")).drop("c1", "c2", "n")
+    grams = written(grams)  # a table of its own, so that the join can split the rows of a frequent gram
     shared = written(occ.join(grams, "gram"))
     whole = shared.where(~F.col("mixed"))
     mixed = shared.where("mixed").drop("lead") if first_only else shared.where("mixed")
@@ -262,7 +263,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",
     out = whole.select(*span).unionByName(again.select(*span))
 
     # Contexts that differ around a shared gram: one of each is read again from its text.
-    sizes = contexts.groupBy("gram").agg(F.count("*").alias("n_contexts"))
+    sizes = written(contexts.groupBy("gram").agg(F.count("*").alias("n_contexts")))
     wanted = contexts.join(sizes, "gram").select("lead.*", "gram", (F.col("n_contexts") > group_limit).alias("crowd"))
     by_doc = wanted.groupBy("doc_id", "check").agg(F.collect_list(F.struct("lo", "hi", "gram", "crowd")).alias("parts"))
     texts = docs.alias("d").join(by_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.check") == F.col("w.check"))).select("d.doc_id", "d.check", "d.text", "w.parts")
