@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, ready, text_slices, written
+from .common import components, free_name, ranges, ready, text_slices, written
 
 SEED = 42
 #: Keys with more fingerprints than this are linked through shared neighbours instead of pairs.
@@ -73,31 +73,79 @@ def _variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= 2
+
+
+def runs_to_links(key: np.ndarray, fp: np.ndarray, pair_limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: all close pairs (a, b) of keys with up to ``pair_limit`` rows, and the rows of larger keys."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    a, b = [], []
+    for step in range(1, pair_limit):  # rows that many places apart in one key
+        at = np.flatnonzero((size > step) & (size <= pair_limit))
+        if not len(at):
+            break
+        i = ranges(first[at], size[at] - step)
+        near = _close(fp[i], fp[i + step])
+        a.append(fp[i][near])
+        b.append(fp[i + step][near])
+    crowd = size > pair_limit
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none]), np.unique(fp[ranges(first[crowd], size[crowd])])
+
+
 def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints in ``fps.fp`` that connect all at two bits or fewer.
 
-    Every edge is a true link. Rare keys give all their links; frequent keys give a spanning star.
+    Every edge is a true link. The keys are shuffled once and meet sorted; rare keys give all their links, the
+    fingerprints of frequent keys a spanning star around each shared neighbour.
     """
+    ready(fps.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large = None  # a key whose rows already exceed the limit; the rest of it passes by
+
+        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())})
+
+        def close(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(key):
+                a, b, crowd = runs_to_links(key, fp, pair_limit)
+                if len(a):
+                    yield out(a, b)
+                if len(crowd):
+                    yield out(crowd, None)
+
+        for batch in batches:
+            key = np.concatenate([held_key, batch.column("key").to_numpy()])
+            fp = np.concatenate([held_fp, batch.column("fp").to_numpy()])
+            if large is not None:
+                n = int(np.searchsorted(key, large, "right"))
+                if n:
+                    yield out(fp[:n], None)
+                key, fp = key[n:], fp[n:]
+                if not len(key):
+                    held_key, held_fp = key, fp
+                    continue
+                large = None
+            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
+            yield from close(key[:cut], fp[:cut])
+            held_key, held_fp = key[cut:], fp[cut:]
+            if len(held_key) > pair_limit:
+                yield out(held_fp, None)
+                large, held_key, held_fp = int(held_key[-1]), held_key[:0], held_fp[:0]
+        yield from close(held_key, held_fp)
+
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    sizes = written(sizes)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    two = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(near)
-    more = written(keyed.join(sizes.where("n > 2").select("key", "n"), "key"))
-    some = more.where(F.col("n") <= pair_limit)
-    pairs = (
-        some.select("key", F.col("fp").alias("a"))
-        .join(some.select("key", F.col("fp").alias("b")), "key")
-        .where("a < b")
-        .select("a", "b")
-        .where(near)
-    )
-    crowd = more.where(F.col("n") > pair_limit).select("fp").distinct()
+    met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+    crowd = met.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
     middle = crowd.select("fp", F.explode(around).alias("mid"))
     hub = middle.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = middle.join(hub, "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return two.unionByName(pairs).unionByName(star).distinct()
+    return met.where("b IS NOT NULL").unionByName(star).distinct()
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
