@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from .common import free_name, ranges, ready, text_slices
 
+#: Bytes of text that one round of numpy steps holds.
+STEP_BYTES = 3 << 19
 NO_PAIR = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space.
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables.value
         for batch in batches:
-            for at, data, offsets in text_slices(batch.column(text)):
+            for at, data, offsets in text_slices(batch.column(text), STEP_BYTES):
                 ids, counts = encode_slice(data, offsets, t)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 col = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
@@ -266,7 +268,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             step = 0
             while step < len(col):
-                end = min(len(col), max(step + 1, int(np.searchsorted(ends, ends[step] + 1_000_000, "right")) - 1))
+                end = min(len(col), max(step + 1, int(np.searchsorted(ends, ends[step] + STEP_BYTES // 4, "right")) - 1))
                 texts = decode_slice(flat[ends[step] : ends[end]], np.diff(ends[step : end + 1]), t)
                 yield pa.RecordBatch.from_pydict(_columns(batch.slice(step, end - step)) | {out: pa.array(texts, pa.string())})
                 step = end
