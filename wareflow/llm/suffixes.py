@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",
     near = pieces.where("h1 IS NULL").drop("h1", "h2").repartition("gram").sortWithinPartitions("gram", "doc_id", "check", "lo").mapInArrow(match, span_schema)
     crowd = pieces.where("h1 IS NOT NULL").select("h1", "h2", "doc_id", "check", "lo")
     same = crowd.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "lo")).alias("lead")).where("n > 1")
-    hit = crowd.join(same, ["h1", "h2"])
+    hit = crowd.join(written(same), ["h1", "h2"])  # written, so that the join can split a frequent window
     if first_only:
         hit = hit.where(~F.struct("doc_id", "check", "lo").eqNullSafe(F.col("lead")))
     hit = hit.select("doc_id", "check", F.col("lo").alias("first"), (F.col("lo") + min_len).alias("end"))
