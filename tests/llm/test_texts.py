@@ -188,6 +188,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.value) for r in got}
 
 
+def test_surrogates_of_rules_and_used_up_shapes(spark):
+    rules = ["Password: ________", "token: ========", "Secret:\n----------", "password: ++++++++", "token=(((((((("]
+    rows = list(enumerate(rules)) + [(100 + i, f"token=-------{i}") for i in range(10)] + [(200 + i, f"token=+-------{i}") for i in range(10)]
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count="n").collect()}
+    assert all((out[i].text, out[i].n) == (t, 0) for i, t in enumerate(rules))
+    real, new = {t for i, t in rows if i >= 100}, {r.text for i, r in out.items() if i >= 100}
+    assert len(new) == 20 and not new & real and all(t.startswith(("token=-------", "token=+-------")) for t in new)
+    ents = spark.createDataFrame([("phone", f"{i:02}") for i in range(100)] + [("email", f"{c}@1.cc") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
+    got = pii.distinct_surrogates(ents, "k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == 126 and not {r.surrogate for r in got} & {r.value for r in got}
+
+
 def test_pii_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string")
     plan = pii.replace(df, "k")._jdf.queryExecution().executedPlan().toString()

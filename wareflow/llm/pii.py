@@ -27,7 +27,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?<=[=:]\s{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,256}+"
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?=[_+/=-]{0,255}[A-Za-z0-9])(?<=[=:]\s{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,256}+"
     r"|(?<![A-Za-z0-9_])(?=[0-9A-Za-z_-]{20})(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])",
     "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?=\d)(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]|\.\d)",
@@ -57,7 +57,7 @@ def kind_of(form: Column) -> Column:
         .when(form.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(form.rlike(r"^\p{Lu}\p{Ll}[\p{L}'’-]*$") & ~form.rlike(r"[0-9]"), "name")
         .when(form.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(form.rlike(r"^[\d ().+-]+$") & (form.rlike(r"^[(+]") | form.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$")), "phone")
+        .when(form.rlike(r"^[\d ().+-]*(?:\d[ ().+-]*){5}$") & (form.rlike(r"^[(+]") | form.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$")), "phone")
         .when(form.rlike(r"^\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}$"), "card")
         .when(form.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+$") & (F.length(form) <= 42), "iban")
         .otherwise("secret")
@@ -105,6 +105,10 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, b: a + b)
 
 
+#: Draws from this one on add more and more digits, so that values of a short shape that is used up get one too.
+WIDE = 4
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     """Candidate for the entity ``value`` (its canonical form) of ``kind``, which may end in a gender, as name:f."""
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(attempt))), 512)
@@ -125,7 +129,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     iban = F.concat(F.left(value, F.lit(2)), _shaped(F.substring(value, F.lit(3), F.length(value)), stream))
     given = reduce(lambda rest, k: F.when((kind == f"given:{k[0]}") & (script == k[1]), F.concat(_pick(GIVEN[k], _byte(stream, F.lit(0))), *_tail(k[1], stream, attempt))).otherwise(rest), GIVEN, F.lit(None).cast("string"))
     surname = F.when(script == "cyrillic", _surname("cyrillic", stream, attempt)).otherwise(_surname("latin", stream, attempt))
-    return (
+    drawn = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
@@ -135,6 +139,11 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
         .when(kind == "surname", surname)
         .otherwise(secret)
     )
+    if attempt < WIDE:
+        return drawn
+    more = F.substring(F.regexp_replace(F.sha2(F.concat(stream, F.lit("more")), 512), "[a-f]", "7"), F.lit(1), F.lit(2 * (attempt - WIDE + 1)))
+    named = kind.startswith("given") | (kind == "surname")  # their own tails grow
+    return F.when(named, drawn).when(kind == "email", F.concat(more, drawn)).otherwise(F.concat(drawn, more))
 
 
 def _tail(script: str, stream: Column, attempt: int) -> list[Column]:
@@ -148,7 +157,10 @@ def _surname(script: str, stream: Column, attempt: int) -> Column:
 
 
 def rendered(kind: Column, form: Column, value: Column) -> Column:
-    """The surrogate ``value`` in the case and punctuation of the mention ``form``."""
+    """The surrogate ``value`` in the case and punctuation of the mention ``form``; digits beyond its length follow it."""
+    whole, width = value, F.length(canonical(kind, form))
+    value = F.when(kind.isin("phone", "card", "ssn", "iban"), F.left(whole, width)).otherwise(whole)
+    more = F.substring(whole, width + 1, F.length(whole))
 
     def digit(c: Column, i: Column) -> Column:
         left = F.length(F.regexp_replace(F.substring(form, i + 1, F.length(form)), r"\D", ""))
@@ -160,8 +172,8 @@ def rendered(kind: Column, form: Column, value: Column) -> Column:
 
     chars = F.filter(F.split(form, ""), lambda c: c != "")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(chars, digit), ""))
-        .when(kind == "iban", F.array_join(F.transform(chars, letter), ""))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(chars, digit), ""), more))
+        .when(kind == "iban", F.concat(F.array_join(F.transform(chars, letter), ""), more))
         .when((kind == "email") & (form == F.upper(form)), F.upper(value))
         .otherwise(value)
     )
@@ -185,7 +197,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct ``entities`` (kind, value): one surrogate each, all different.
 
     Candidates that equal an entity of the corpus, a surrogate given before or a candidate of a smaller value are drawn
-    again. Clashes are rare, so the second round already has few rows.
+    again. Clashes are rare, so the second round already has few rows. Where a short shape is used up, later draws are longer.
     """
     open_, given, attempt = entities, None, 0
     real = entities.select(F.col("kind").alias("k"), F.col("value").alias("v"))
