@@ -200,6 +200,26 @@ def test_surrogates_of_rules_and_used_up_shapes(spark):
     assert len({(r.kind, r.surrogate) for r in got}) == 126 and not {r.surrogate for r in got} & {r.value for r in got}
 
 
+def test_surrogates_without_bounds(spark):
+    jwt = "eyJhbGciOi" + "J9x4" * 40 + ".eyJzdWIi" + "Ab3d" * 90 + ".Sfl-Kx_w" + "Rj5e" * 50
+    long, key, sha = "Zq7+" * 300, "sk-" + "aB3d" * 60, hashlib.sha512(b"x").hexdigest()
+    rows = [
+        (1, f"token={jwt} end", jwt), (2, f'secret: "{long}" end', long), (3, "password: p@ssw0rd! end", "ssw0rd"), (4, f"key {sha} end", sha), (5, f"{key} end", key),
+        (6, "from 2001:db8:85a3:0:0:8a2e:370:7334, 2001:DB8::7, fe80::1ff:fe23:4567:890a: end", "370:7334"), (7, "password='it.s \"x\" p' 'abc\"d.efg9' end", "zzz"), (8, "password: 'abc\"d.efg9' end", "efg9"), (9, "Passwort, password: пароль12 end", "пароль"),
+        (10, "Mr. John Smith came. Smith left, Smith's hat too; Smithers and Blacksmith stayed. Mrs. Abcdefghij" + "k" * 40 + " Lee", "kkk"), (11, "Smith is no one here; at 12:34:56 std::dead abc::def aa:bb:cc:dd:ee:ff", "zzz"), (12, "token: don't.worry, joe end", "worry"),
+        (13, '{"password": "abc.def#ghi1"}', "ghi1"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "k", count="n").collect()}
+    assert all(gone not in got[i].text for i, _, gone in rows)
+    assert all(not got[i].text.count(part) for i, part in [(1, "J9x4J9x4"), (1, "Ab3dAb3d"), (1, "Rj5eRj5e"), (2, "Zq7+Zq7+"), (5, "aB3daB3d"), (6, "8a2e"), (6, "DB8::7"), (6, "890a")])
+    assert all(got[i].text.endswith(" end") for i in range(1, 10) if i != 7) and [got[i].n for i in (1, 2, 3, 4, 5, 6, 8, 9, 13)] == [1, 1, 1, 1, 1, 3, 1, 1, 1]
+    assert got[3].text.startswith("password: ") and re.search(r"[a-z]@[a-z]{3}[0-9][a-z]{2}! end$", got[3].text) and re.search(r"2[0-9]{3}|[0-9]{4}:[a-f]{2}[0-9]:", got[6].text)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left, (\w+)'s hat too; Smithers and Blacksmith stayed\. Mrs\. ([\w-]+) (\w+)", got[10].text)
+    assert m and m[2] == m[3] == m[4] != "Smith" and m[6] != "Lee" and got[10].n == 6
+    assert got[11].text == rows[10][1] and got[12].text.endswith(", joe end")
+
+
 def test_pii_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string")
     plan = pii.replace(df, "k")._jdf.queryExecution().executedPlan().toString()

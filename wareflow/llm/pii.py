@@ -19,21 +19,34 @@ FEMALE = ["Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra", "Seño
 MALE = ["Mr", "Monsieur", "Herr", "Señor", "Sr", "господин", "г-н"]
 NEUTRAL = ["Dr", "Prof"]
 _TITLE = r"(?<![\p{L}\p{N}-])(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.? "
-_NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]{0,28}"
+_NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"(?:{_HEX}(?::{_HEX}){{7}}|(?!(?:[0-9A-Fa-f]*:){{8}})(?=[A-Fa-f:]*\d){_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)"
+_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+
+
+def _keyed(value: str, start: str) -> str:
+    """A secret after its key name: characters of the class ``value``, eight at least, a letter or digit among them, without punctuation at the end."""
+    word, marks = rf"[[{value}]&&[^.,;:!?)\]}}>\"']]", rf"[[{value}]&&[.,;:!?)\]}}>\"']]"
+    key = r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)"
+    return rf"{start}(?=[{value}]{{7}}{marks}*+{word})(?=[{value}]*?[\p{{L}}\p{{N}}]){key}(?:{marks}*+{word}++)++"
+
 
 #: Kinds in order of precedence. Each pattern starts at a boundary, so that scanning stays linear, and with cheap looks
 #: around, so that the long ones are tried at few places.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "keyed": r"(?<=[=:\s\"'])(?=\S{8})(?<=[=:]\s{0,2}[\"']?)(?:" + "|".join([_keyed(r"^\s\p{Z}\"", r"(?<=\")"), _keyed(r"^\s\p{Z}'", "(?<=')"), _keyed(r"^\s\p{Z}", r"(?<![\"'])(?![\"'])")]) + ")",
+    "email": rf"(?<![A-Za-z0-9._%+-]){_EMAIL}(?![A-Za-z0-9])",
     "ip": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?=[_+/=-]{0,255}[A-Za-z0-9])(?<=[=:]\s{0,2}[\"']?)(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/=-]{8,256}+"
-    r"|(?<![A-Za-z0-9_])(?=[0-9A-Za-z_-]{20})(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])",
+    "ipv6": rf"(?={_HEX}:)(?<![\w:.]){_IPV6}(?!\w|:[\w:]|\.\d)",
+    "secret": r"(?<![A-Za-z0-9_])(?=[0-9A-Za-z_-]{20})(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|[0-9a-f]{32,64}|[0-9A-F]{32,64}"
+    r"|(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{65,}+|(?=[0-9]*+[A-F])(?=[A-F]*+[0-9])[0-9A-F]{65,}+)(?![A-Za-z0-9_])",
     "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?=\d)(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]|\.\d)",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d))",
-    "name": rf"(?=\p{{Lu}})(?:(?<={_TITLE}){_NAME}|(?<={_TITLE}\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,28}} ){_NAME})",
+    "name": rf"(?=\p{{Lu}})(?:(?<={_TITLE}){_NAME}|(?<={_TITLE}\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,98}} ){_NAME})",
 }
 ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
@@ -53,8 +66,9 @@ SYLLABLES = {
 def kind_of(form: Column) -> Column:
     """Kind of a detected string: the first pattern that its shape fits."""
     return (
-        F.when(form.contains("@"), "email")
+        F.when(form.rlike(rf"^{_EMAIL}$"), "email")
         .when(form.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
+        .when(form.rlike(rf"^{_IPV6}$"), "ipv6")
         .when(form.rlike(r"^\p{Lu}\p{Ll}[\p{L}'’-]*$") & ~form.rlike(r"[0-9]"), "name")
         .when(form.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(form.rlike(r"^[\d ().+-]*(?:\d[ ().+-]*){5}$") & (form.rlike(r"^[(+]") | form.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$")), "phone")
@@ -68,7 +82,7 @@ def canonical(kind: Column, form: Column) -> Column:
     """What all mentions of an entity have in common."""
     digits = F.regexp_replace(form, r"\D", "")
     return (
-        F.when(kind == "email", F.lower(form))
+        F.when(kind.isin("email", "ipv6"), F.lower(form))
         .when(kind == "phone", F.right(digits, F.lit(10)))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.replace(form, F.lit(" "), F.lit("")))
@@ -89,11 +103,11 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 
 def _shaped(text: Column, stream: Column, lower: str = LOWER, upper: str = UPPER, digits: str = DIGITS) -> Column:
-    """``text`` with other letters and digits of the same class; other characters stay."""
+    """``text`` with other letters and digits of the same class, small Latin ones for other scripts; other characters stay."""
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(stream, i) + F.pmod(F.floor(i / 30), F.lit(97)).cast("int")
-        return F.when(c.rlike("[a-z]"), _pick(lower, n)).when(c.rlike("[A-Z]"), _pick(upper, n)).when(c.rlike("[0-9]"), _pick(digits, n)).otherwise(c)
+        return F.when(c.rlike("[a-z]"), _pick(lower, n)).when(c.rlike("[A-Z]"), _pick(upper, n)).when(c.rlike("[0-9]"), _pick(digits, n)).when(c.rlike(r"[\p{L}\p{N}]"), _pick(lower, n)).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
@@ -132,6 +146,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     drawn = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ipv6", _shaped(value, stream, LOWER[:6]))
         .when(kind == "card", card)
         .when(kind.isin("phone", "ssn"), plain)
         .when(kind == "iban", iban)
@@ -174,7 +189,7 @@ def rendered(kind: Column, form: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(chars, digit), ""), more))
         .when(kind == "iban", F.concat(F.array_join(F.transform(chars, letter), ""), more))
-        .when((kind == "email") & (form == F.upper(form)), F.upper(value))
+        .when(kind.isin("email", "ipv6") & (form == F.upper(form)), F.upper(value))
         .otherwise(value)
     )
 
@@ -219,23 +234,35 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
     """``docs`` with every entity in column ``text`` replaced by its surrogate; ``count``: adds their number.
 
     Null and empty texts stay as they are. Repeated rows get the same text. All rows and columns stay, null ids too. Whole
-    texts are searched. Kinds: e-mail, IP address, secret, IBAN, card, social security and phone numbers, and names after a title.
+    texts are searched. Kinds: e-mail, IPv4 and IPv6 address, secret, IBAN, card, social security and phone numbers, and names after a
+    title. A surname found so is replaced, and counted, wherever it recurs as a whole word in the same text.
     """
-    h, p, k, f = (free_name(docs, n) for n in ("text_hash", "mentions", "row_id", "surrogates"))
+    h, p, k, f, s = (free_name(docs, n) for n in ("text_hash", "mentions", "row_id", "surrogates", "surnames"))
     base = docs.withColumn(h, F.xxhash64(text))
     found = base.select(F.col(doc_id).alias("id"), F.col(h).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(ANY))
     seen = written(mentions(found))
     forms = written(seen.select("kind", "form").distinct().withColumn("value", canonical(F.col("kind"), F.col("form"))))
     values = written(forms.select("kind", "value").distinct())
     table = forms.join(distinct_surrogates(values, key), ["kind", "value"]).select("kind", "form", rendered(F.col("kind"), F.col("form"), F.col("surrogate")).alias("new"))
-    by_doc = seen.join(written(table), ["kind", "form"]).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "new"))).alias("s"))
-    by_doc = by_doc.select(F.col("id").alias(k), F.col("h").alias(p), F.col("s.new").alias(f))
+    surname = F.when(F.col("kind") == "surname", F.struct((-F.length("form")).alias("order"), "form", "new"))
+    by_doc = seen.join(written(table), ["kind", "form"]).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "new"))).alias("s"), F.sort_array(F.collect_set(surname)).alias("names"))
+    by_doc = by_doc.select(F.col("id").alias(k), F.col("h").alias(p), F.col("s.new").alias(f), F.col("names").alias(s))
     joined = base.join(by_doc, base[doc_id].eqNullSafe(F.col(k)) & (base[h] == F.col(p)), "left")
     gaps = F.split(F.col(text), ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.col(f), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def whole_word(name: Column) -> Column:
+        return F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name["form"], F.lit(r"\E(?![\p{L}\p{N}])"))
+
+    def again(gap: Column) -> Column:
+        return F.aggregate(F.col(s), gap, lambda t, name: F.regexp_replace(t, whole_word(name), name["new"]))
+
+    whole = F.when(F.size(s) > 0, F.transform(gaps, again)).otherwise(gaps)
+    rebuilt = F.array_join(F.zip_with(whole, F.col(f), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     cols = [F.when(F.col(f).isNull(), F.col(text)).otherwise(rebuilt).alias(text) if c == text else F.col(c) for c in docs.columns]
     if count:
-        cols.append(F.coalesce(F.size(f), F.lit(0)).cast("long").alias(count))
+        step = lambda n, gap: n + F.aggregate(F.col(s), F.lit(0), lambda m, name: m + F.size(F.regexp_extract_all(gap, whole_word(name), F.lit(0))))
+        recurring = F.when(F.size(s) > 0, F.aggregate(gaps, F.lit(0), step)).otherwise(0)
+        cols.append(F.coalesce(F.size(f) + recurring, F.lit(0)).cast("long").alias(count))
     return joined.select(*cols)
 
 
