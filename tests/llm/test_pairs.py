@@ -90,6 +90,35 @@ def test_keep_first(spark):
     assert kept == Counter([1, 2, 2, 5, 6, None])
 
 
+def test_keep_first_of_edited_copies(spark):
+    rng = random.Random(11)
+    words, tail = [f"w{i}" for i in range(2000)], "this common line is in every one of the texts here".split()
+    base = [rng.choices(words, k=rng.choice([3, 12, 60, 300])) for _ in range(30)]
+    rows = [(i, " ".join(t + tail)) for i, t in enumerate(base)]
+    for k in range(150):
+        t = list(base[k % 30])
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((100 + k, " ".join(t + tail[: rng.choice([0, 11])])))
+
+    def shingles(t):
+        w = t.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    bits = {i: simhash.fingerprint_of(t.encode(), 5) for i, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and (bits[a] ^ bits[b]).bit_count() <= 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label = closure(sets, near + close)
+    assert len(set(label.values())) < len(set(closure(sets, close).values()))
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(label.values()))
+    checks = {r.check: r.doc_id for r in df.select("doc_id", F.xxhash64("text").alias("check")).collect()}
+    found = simhash.similar_texts(df.select(F.xxhash64("text").alias("check"), "text")).collect()
+    want = {tuple(sorted((rows_of, other))) for rows_of, other in near if rows_of in checks.values() and other in checks.values()}
+    assert {tuple(sorted((checks[r.a], checks[r.b]))) for r in found} == want and len(want) > 20
+
+
 def brute_removed(texts, length, first):
     seen, out = Counter(), []
     every = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))

@@ -24,23 +24,30 @@ from .common import components, free_name, ranges, ready, text_slices, written
 SEED = 42
 #: Keys with more fingerprints than this are linked through shared neighbours instead of pairs.
 PAIR_LIMIT = 16
+#: Texts, about so many, that say which shingles are common; results don't depend on it.
+ORDER_TEXTS = 4000
 
 
-def fingerprint_of(raw: bytes, words_per_shingle: int = 3) -> int:
-    """64-bit SimHash of UTF-8 bytes: words lower-cased in A-Z, shingles hashed with XXH64."""
+def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
+    """Big-endian XXH64 bytes, one row for each shingle of UTF-8 bytes: words lower-cased in A-Z."""
     words = raw.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     k = min(words_per_shingle, n)
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = (np.concatenate([[0], ends[: n - k]])).tolist()
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(text[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n - k + 1).tobytes(), "big")
+    return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(raw: bytes, words_per_shingle: int = 3) -> int:
+    """64-bit SimHash of UTF-8 bytes."""
+    hashes = shingle_hashes(raw, words_per_shingle)
+    ones = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per_shingle: int = 3) -> DataFrame:
@@ -148,12 +155,64 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return met.where("b IS NOT NULL").unionByName(star).distinct()
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """(a, b): ``check`` of all pairs of texts in ``docs`` (check, text) with a Jaccard similarity of shingles of 4/5 or more.
+
+    Exact, up to equal 64-bit hashes: the shingles of every text are put in one order, and of two such texts the first
+    fifths (n - ceil(4n/5) + 1 of n shingles) have one in common. Those meet in a join, pairs whose lengths or places
+    rule the similarity out go, and the whole sets of the rest are compared. The order puts shingles that a sample of
+    texts shares last; which these are changes the cost only. A group of c near copies costs c * c / 2 comparisons.
+    """
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in text_slices(batch.column("text")):
+                raw, ends = data.tobytes(), offsets.tolist()
+                sets = [np.unique(shingle_hashes(raw[a:b], words_per_shingle).view(">i8").ravel().astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64()))})
+
+    sets = written(docs.select("check", "text").mapInArrow(run, "check long, h array<long>").where("size(h) > 0"))
+    share = min(1.0, ORDER_TEXTS / max(1, sets.count()))
+    drawn = sets.where(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["check"])
+    common = [r.k for r in drawn.select(F.explode("h").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 2").select("k").collect()]
+    late = np.sort(np.array(common, np.int64))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for check, h in zip(batch.column("check").to_pylist(), batch.column("h"), strict=True):
+                h = h.values.to_numpy()
+                n = len(h)
+                where = np.searchsorted(late, h)
+                last = late[np.minimum(where, len(late) - 1)] == h if len(late) else np.zeros(n, bool)
+                first = np.concatenate([h[~last], h[last]])[: n - (4 * n + 4) // 5 + 1]
+                m = len(first)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(first), "check": pa.array([check] * m, pa.int64()), "n": pa.array([n] * m, pa.int32()), "at": pa.array(np.arange(m, dtype=np.int32))})
+
+    keys = written(sets.mapInArrow(prefixes, "k long, check long, n int, at int").distinct())
+    shared = keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "k", "left_semi")
+    a, b = shared.alias("a"), shared.alias("b")
+    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.check") < F.col("b.check")) & (9 * most >= 4 * (F.col("a.n") + F.col("b.n"))))
+    pairs = written(met.select(F.col("a.check").alias("a"), F.col("b.check").alias("b")).distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()
+    whole = written(sets.join(used, "check", "left_semi").dropDuplicates(["check"]))
+    both = pairs.join(whole.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows (doc_id, check, fp) of all documents, and the group of each fingerprint (fp, component, first_id)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text"))
     rows = written(fingerprints(rows, words_per_shingle=words_per_shingle))
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = written(components(links(fps)))
+    edges = links(fps)
+    if similar:
+        near = written(similar_texts(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle))
+        of = written(rows.join(near.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "check", "left_semi").select("check", "fp").distinct())
+        near = near.join(of.select(F.col("check").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("check").alias("b"), F.col("fp").alias("fb")), "b")
+        edges = edges.unionByName(near.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))).distinct()
+    comp = written(components(edges))
     groups = fps.join(comp, fps.fp == comp.node, "left").withColumn("component", F.coalesce("component", "fp"))
     return rows, groups.select("fp", "component", "first_id")
 
@@ -174,11 +233,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one with the least id.
 
-    Fingerprints of five-word shingles by default. Of different texts under one id in a group, one stays, and one
+    Near-duplicates have fingerprints of five-word shingles at two bits or fewer, or a Jaccard similarity of the shingles of
+    0.8 or more, directly or over others. Of different texts under one id in a group, one stays, and one
     of rows that are equal. Rows without an id or a word are no copies of anything and all stay.
     """
     words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col(doc_id).isNotNull()
-    rows, groups = _grouped(docs.where(words), doc_id, text, words_per_shingle)
+    rows, groups = _grouped(docs.where(words), doc_id, text, words_per_shingle, similar=True)
     a, b, order = free_name(docs, "first_id"), free_name(docs, "first_check"), free_name(docs, "row_order")
     first = rows.join(groups.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct("doc_id", "check")).alias("m"))
     first = first.select(F.col("m.doc_id").alias(a), F.col("m.check").alias(b)).distinct()
