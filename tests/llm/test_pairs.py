@@ -161,6 +161,20 @@ def test_repeated_rows_and_null_ids(spark):
     assert rep[2].kept_sha256 == hashlib.sha256(b"short").hexdigest() and rep[1].n_spans == 1
 
 
+@pytest.mark.parametrize("limit", [2, 500])
+def test_first_of_repeated_rows_stays(spark, limit):
+    rng = random.Random(12)
+    t, u = ("".join(rng.choices("abcdef", k=600)) for _ in range(2))
+    texts = [(1, t), (1, t), (2, u), (2, u), (2, u), (3, u[:300] + "xyz" + t[100:500]), (4, "short"), (4, "short"), (5, t[:200] + "q" + u[50:400])]
+    df = spark.createDataFrame([*texts, (None, "n" + t), (None, "n" + t)], "doc_id long, text string")
+    order = [(None, "n" + t), (None, "n" + t), *texts]
+    want = Counter()
+    for (i, x), gone in zip(order, brute_removed([x.encode() for _, x in order], 50, True), strict=True):
+        want[(i, bytes(b for b, g in zip(x.encode(), gone, strict=True) if not g))] += 1
+    got = Counter((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeats(df, min_len=50, keep="first", group_limit=limit).collect())
+    assert got == want
+
+
 def test_longest_previous_factors():
     raw = b"abracadabra abracadabra"
     data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -356,14 +356,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_bytes, removed, kept): per row the removed byte spans, merged and in order, and the bytes left.
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross rows. Rows that repeat an id or a whole
-    text are rows of their own, so each is a copy of the other. Texts under ``min_len`` bytes stay whole. Null
+    text are rows of their own, so each is a copy of the other; of equal rows keep="first" keeps one. Texts under ``min_len`` bytes stay whole. Null
     ids are allowed. Further columns are ignored; an empty table gives an empty result. ``kept`` is binary,
     because a removed span may end inside a character.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("check", F.hash("text"))
-    spans = repeated_spans(rows, min_len, keep, group_limit).groupBy("doc_id", "check").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    joined = rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.check") == F.col("s.check")), "left").select("d.doc_id", "d.text", "s.spans")
+    if keep == "first":  # all of an equal row is a copy of the first one, so only that one takes part
+        same = Window.partitionBy("doc_id", "check", "text").orderBy(F.lit(1))
+        rows = written(rows.withColumn("copy", F.row_number().over(same)))
+    else:
+        rows = rows.withColumn("copy", F.lit(1))
+    spans = repeated_spans(rows.where("copy = 1").drop("copy"), min_len, keep, group_limit).groupBy("doc_id", "check").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    joined = rows.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.check") == F.col("s.check")), "left")
+    whole = F.when(F.octet_length("d.text") >= min_len, F.array(F.struct(F.lit(0).alias("first"), F.octet_length("d.text").alias("end"))))
+    joined = joined.select("d.doc_id", "d.text", F.when(F.col("d.copy") == 1, F.col("s.spans")).otherwise(whole).alias("spans"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
