@@ -41,6 +41,19 @@ def test_language_edges(spark):
     assert langid.report(df.where(F.lit(False))).count() == 0
 
 
+def test_samples_take_copies_once(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(12)) for _ in range(60)]
+    df = spark.createDataFrame([(t, "en") for k, t in enumerate(texts) for _ in range(1 if k else 400)] + [(t, "en") for t in texts[1:] for _ in range(9)], "text string, lang string")
+    sample = []
+    monkeypatch.setattr(langid.Model, "fit", lambda self, rows: sample.extend(rows))
+    langid.train(df, per_language=30)
+    assert 20 <= len(sample) / 2 <= 45 and max(Counter((a.tobytes(), b.tobytes()) for a, b, _ in sample).values()) == 1
+    monkeypatch.setattr(licenses, "Model", lambda rows: rows)
+    rows = licenses.train(df, negatives=30)
+    assert 20 <= len(rows) <= 45 and len(set(rows)) == len(rows)
+
+
 @needs_tables
 def test_toxicity_accuracy(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")

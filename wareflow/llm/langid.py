@@ -153,7 +153,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit a model on ``docs`` (text, lang): all rows for document frequencies, a bounded sample for weights.
 
-    The sample takes of each language the rows of least text hash, about ``per_language`` of them (fewer with many languages), and of each of these
+    The sample takes of each language the distinct texts of least hash, about ``per_language`` of them (fewer with many languages), and of each of these
     texts a short piece too. Rows whose lang or text is null don't count. No rows give a model that knows no language.
     """
     ready(docs.sparkSession)
@@ -172,14 +172,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     df = np.zeros(BUCKETS + 1)
     for r in docs.select("text").mapInArrow(frequencies, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         df[r.k] = r.n
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.countDistinct(F.xxhash64("text", "lang")).alias("n")).collect()}
     model = Model(sorted(sizes), np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1)
     if not sizes:
         return model
     per_language = min(per_language, max(1, ALL_LANGUAGES // len(sizes)))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = docs.where(draw < share[F.col("lang")])
+    sample = docs.where(draw < share[F.col("lang")]).dropDuplicates(["text", "lang"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

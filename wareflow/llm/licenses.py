@@ -244,13 +244,13 @@ class Model:
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVE_TEXTS) -> Model:
-    """Fit the classifier; the class "unknown" comes from paragraphs of about ``negatives`` texts of ``docs``."""
+    """Fit the classifier; the class "unknown" comes from paragraphs of about ``negatives`` distinct texts of ``docs``."""
     texts = docs.select("text").where("text IS NOT NULL")
-    n = texts.count()
+    n = texts.select(F.countDistinct(F.xxhash64("text"))).first()[0]
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     lines = F.split(F.col("text"), "\n")
     middle = F.element_at(lines, F.floor((F.size(lines) + 1) / 2).cast("int"))
-    rows = texts.where(draw < min(1.0, negatives / max(1, n))).select(F.substring(middle, F.lit(1), F.lit(600)).alias("p")).collect()
+    rows = texts.where(draw < min(1.0, negatives / max(1, n))).dropDuplicates(["text"]).select(F.substring(middle, F.lit(1), F.lit(600)).alias("p")).collect()
     return Model([r.p.encode() for r in rows if r.p])
 
 
