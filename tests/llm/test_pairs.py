@@ -175,6 +175,44 @@ def test_first_of_repeated_rows_stays(spark, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_keys", [0, 100])
+def test_rows_of_frequent_keys(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 3)
+    monkeypatch.setattr(suffixes, "HOT_KEYS", hot_keys)
+    for keep in ("first", "none"):
+        test_repeats(spark, 50, keep, 2)
+    test_shared_passages(spark, 12)
+
+
+@pytest.mark.parametrize("words", [12, 51])
+def test_shared_passages(spark, words):
+    rng = random.Random(words)
+    pool = [f"w{k}é" for k in range(200)]
+    passages = [rng.choices(pool, k=n) for n in (words - 1, words, words + 1, 2 * words, 5 * words)]
+    texts = []
+    for k in range(40):
+        t = rng.choices(pool, k=rng.choice([0, 3, 60]))
+        for _ in range(rng.randint(0, 2)):
+            p, at = rng.choice(passages), rng.randint(0, len(t))
+            t[at:at] = p[: rng.choice([len(p), max(1, len(p) - 2)])]
+        texts.append(t)
+    texts += [texts[0], passages[3] * 2, ["same"] * 300, []]
+    docs = [(k, rng.choice([" ", "\n ", "\t"]).join(t)) for k, t in enumerate(texts)] + [(100, None), (None, " ".join(passages[4])), (101, "own " * 200), (101, "own " * 200)]
+    rows = [t for t in texts] + [[], passages[4], ["own"] * 200]
+    where = {}
+    for k, t in enumerate(rows):
+        for j in range(len(t) - words + 1):
+            where.setdefault(tuple(t[j : j + words]), set()).add(k)
+    want = Counter()
+    for k, t in enumerate(rows):
+        hit = {j + x for j in range(len(t) - words + 1) if len(where[tuple(t[j : j + words])]) > 1 for x in range(words)}
+        if hit:
+            want[(docs[k][0], len(hit))] += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("check", F.xxhash64("text"))
+    assert Counter((r.doc_id, r.n_shared_words) for r in suffixes.shared_passages(df, words).collect()) == want
+    assert suffixes.shared_passages(df.where(F.lit(False)), words).count() == 0
+
+
 def test_longest_previous_factors():
     raw = b"abracadabra abracadabra"
     data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
