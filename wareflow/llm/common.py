@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wareflow.session import importable as ready
 
-__all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch_path", "text_slices", "written"]
+__all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch", "scratch_path", "text_slices", "written"]
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 4 << 20
@@ -27,14 +29,35 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared scratch folder and read it again."""
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
+def written(df: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared scratch folder and read it again.
+
+    Within ``scratch`` the table goes at its end, unless it is to ``keep``.
+    """
     spark = df.sparkSession
     path = path or scratch_path(spark)
+    if (own := _OWN.get()) is not None and not keep:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``written`` made inside; a table that is still to be read must be kept."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        for path in own:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

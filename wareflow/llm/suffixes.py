@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranges, ready, text_slices, written
+from .common import ranges, ready, scratch, text_slices, written
 
 MIN_LEN = 400
 #: Contexts of one gram that may meet in one task.
@@ -248,11 +248,12 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",
                 own = pa.array(row + at)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(own), "check": batch.column("check").take(own), "gram": pa.array(gram), "context": pa.array(context), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
 
-    occ = written(docs.mapInArrow(anchor_rows, f"doc_id {id_type.simpleString()}, check long, gram long, context long, lo int, hi int"))
     place = F.struct("doc_id", "check", "lo", "hi")
     stats = [F.count("*").alias("n"), F.min("context").alias("c1"), F.max("context").alias("c2")] + ([F.min(place).alias("lead")] if first_only else [])
-    grams = occ.groupBy("gram").agg(*stats).where("n > 1").withColumn("mixed", F.col("c1") != F.col("c2")).drop("c1", "c2")
-    shared = written(with_key(occ, grams, ["gram"]))
+    with scratch(spark):
+        occ = written(docs.mapInArrow(anchor_rows, f"doc_id {id_type.simpleString()}, check long, gram long, context long, lo int, hi int"))
+        grams = occ.groupBy("gram").agg(*stats).where("n > 1").withColumn("mixed", F.col("c1") != F.col("c2")).drop("c1", "c2")
+        shared = written(with_key(occ, grams, ["gram"]), keep=True)
     whole = shared.where(~F.col("mixed"))
     mixed = shared.where("mixed").drop("lead") if first_only else shared.where("mixed")
     contexts = written(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("lead")))
@@ -404,8 +405,6 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    size = gram_size(words)
-    width = words - size + 1
     doc = F.xxhash64("doc_id", "check")
     sides = [F.min(doc).alias("a"), F.max(doc).alias("b")]
 
@@ -418,11 +417,21 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
                 own = pa.array(row + at)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(own), "check": batch.column("check").take(own), "gram": pa.array(gram), "context": pa.array(context), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
 
-    occ = written(docs.mapInArrow(anchor_rows, f"doc_id {id_type}, check long, gram long, context long, lo int, hi int"))
-    grams = occ.groupBy("gram").agg(*sides, F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("a <> b").drop("a", "b")
-    shared = written(with_key(occ, grams, ["gram"]))
+    with scratch(spark):
+        occ = written(docs.mapInArrow(anchor_rows, f"doc_id {id_type}, check long, gram long, context long, lo int, hi int"))
+        grams = occ.groupBy("gram").agg(*sides, F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("a <> b").drop("a", "b")
+        shared = written(with_key(occ, grams, ["gram"]), keep=True)
+    with scratch(spark):
+        return written(_shared_words(docs, shared, words), keep=True)
+
+
+def _shared_words(docs: DataFrame, shared: DataFrame, words: int) -> DataFrame:
+    """The shared words by document; ``shared``: the places (doc_id, check, gram, context, lo, hi, mixed) of grams of two documents."""
+    size = gram_size(words)
+    width = words - size + 1
+    doc = F.xxhash64("doc_id", "check")
     mixed = shared.where("mixed")
-    contexts = written(mixed.groupBy("gram", "context").agg(*sides, F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "lo", "hi")).alias("lead")))
+    contexts = written(mixed.groupBy("gram", "context").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "lo", "hi")).alias("lead")))
     again = with_key(mixed, contexts.where("a <> b").select("gram", "context", "n"), ["gram", "context"])
     span = ["doc_id", "check", F.col("lo").alias("first"), (F.col("hi") + words).alias("end")]
     out = shared.where(~F.col("mixed")).select(*span).unionByName(again.select(*span))
@@ -452,7 +461,10 @@ def shared_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     lone = pieces.where("a = b").withColumnsRenamed({"context": "doc_id", "j": "lo"}).withColumn("check", F.col("w"))
     hit = with_key(lone.select("gram", "w", "doc_id", "check", "lo"), met, ["gram", "w"]).select("gram", F.col("doc_id").alias("context"), F.col("lo").alias("j"))
     hit = hit.groupBy("gram", "context").agg(F.sort_array(F.collect_list("j")).alias("js"))  # at most a window's anchors: bounded by ``words``
-    few = mixed.join(hit, ["gram", "context"]).select("doc_id", "check", "lo", F.explode("js").alias("j"))
+    # Nearly all contexts of one document occur once, at their lead.
+    once = contexts.where("a = b AND n = 1").join(hit, ["gram", "context"]).select("lead.doc_id", "lead.check", "lead.lo", "js")
+    more = with_key(mixed, contexts.where("a = b AND n > 1").join(hit, ["gram", "context"]).select("gram", "context", "js", "n"), ["gram", "context"]).select("doc_id", "check", "lo", "js")
+    few = once.unionByName(more).select("doc_id", "check", "lo", F.explode("js").alias("j"))
     out = out.unionByName(few.select("doc_id", "check", (F.col("lo") + F.col("j")).alias("first"), (F.col("lo") + F.col("j") + words).alias("end")))
     spans = out.groupBy("doc_id", "check").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
@@ -514,8 +526,8 @@ def report(docs: DataFrame) -> DataFrame:
     Passages of just over 50 words often have under 400 bytes, so that their copies stay; n_shared_words tells where they are.
     """
     rows = _rows(docs, "doc_id", "text")
+    found = shared_passages(rows)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]).cast("long"))
     done = _removed(rows, MIN_LEN, "none", GROUP_LIMIT).select("doc_id", "check", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    found = shared_passages(rows)
     joined = done.alias("d").join(found.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.check") == F.col("s.check")), "left")
     return joined.select("d.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words"))
