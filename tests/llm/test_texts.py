@@ -86,12 +86,26 @@ def test_toxicity_edges_and_exact_neighbours(spark):
     for t in range(len(index.terms)):
         s = slice(index.start[t * index.blocks], index.start[(t + 1) * index.blocks])
         dense[index.example[s], t] = index.weight[s]
-    for text in ("zork blarg blarg", "fnord w3", "zork"):
+    # The index holds every term of its examples, and the weights are those of plain TF-IDF.
+    by_id = {i: t for i, t in rows if t and any(k == i and y is not None for k, y in labels)}
+    count = {w: sum(1 for _, t in rows if w in (t or "").split()) for t in by_id.values() for w in t.split()}
+    assert {w.decode() for w in index.terms} >= {w for i in index.ids for w in by_id[i].split()}
+    for place, i in enumerate(index.ids):
+        c = Counter(by_id[i].split())
+        x = {w: (1 + np.log(k)) * (np.log((1 + len(rows)) / (1 + count[w])) + 1) for w, k in c.items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        assert np.allclose(dense[place, [index.terms[w.encode()] for w in x]], [v / size for v in x.values()])
+    for text in ("zork blarg blarg", "fnord w3", "zork", rows[5][1], " ".join(words)):
         where, x = index.vector(text.encode())
         q = np.zeros(len(index.terms))
         q[where] = x
         places, cosine = index.nearest(where, x)
         assert np.allclose(cosine, np.sort(dense @ q)[::-1][: len(cosine)]) and np.allclose((dense @ q)[places], cosine)
+    text_ids = toxicity.report(docs.withColumn("doc_id", F.col("doc_id").cast("string")), lab.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert {r.doc_id for r in text_ids.collect()} == {None if i is None else str(i) for i, _ in rows}
+    for name in ("Score", "evidence", "PREDICTED"):
+        with pytest.raises(ValueError):
+            toxicity.score(docs.withColumn(name, F.lit(1)), index)
     assert {r.score for r in toxicity.report(docs, lab.where(F.lit(False))).collect()} == {0.0}
     assert toxicity.report(docs.where(F.lit(False)), lab).count() == 0
 
