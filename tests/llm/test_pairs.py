@@ -243,6 +243,12 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.where(F.lit(False))).count() == 0
 
 
+def test_embedding_links_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.01, 0.0]), (7, [0.0, 1.0, 0.01]), (4, [0.0, 0.0, 1.0]), (8, [0.0, 1.0, 0.0]), (9, [0.0, 0.0, 1.0]), (3, [0.0, 0.01, 1.0])]
+    got = Counter(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(5, 1, 5, True), (6, 1, 5, False), (5, 2, 5, True), (7, 2, 5, False), (8, 2, 5, False), (4, 2, 3, False), (9, 2, 3, False), (3, 2, 3, True)])
+
+
 def test_contamination(spark):
     rng = random.Random(6)
     words = [f"Wört{i}" if i % 5 else f"word{i}" for i in range(300)]

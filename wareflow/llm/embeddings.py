@@ -135,7 +135,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     All rows are compared with all rows of the same length. Vectors that are null, empty or zero, or hold null or
     non-finite components, link with nothing, and so do rows without an id. Equal vectors are compared once and
-    count as often as they occur; repeated ids stay separate rows. Further columns are ignored. A null id has a null component.
+    count as often as they occur; repeated ids stay separate rows, with the links of their own vector. Ids are cast to long. Further columns are ignored. A null id has a null component.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -143,7 +143,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    reps = written(rows.where("good").groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("rep")))
+    # Different vectors get numbers of their own, because an id may have several.
+    reps = written(rows.where("good").groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
     n, dim = reps.agg(F.count("*"), F.max(F.size("embedding"))).first()
     alone = rows.select("good", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
@@ -161,7 +162,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         cov[r.k] = r.v  # dim * dim numbers, whatever the number of rows
     axes = spark.sparkContext.broadcast(np.linalg.eigh(cov.reshape(dim, dim))[1][:, ::-1].copy())
 
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(CELL_SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    sample = reps.orderBy(F.xxhash64("embedding"), "rep").limit(CELL_SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
     lead = min(dim, 16)
     cells = int(min(MAX_CELLS, max(1, n // tile_rows)))
     turned = _unit(_matrix(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample, dim)[0]) @ axes.value
@@ -174,7 +175,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "weight": batch.column("weight"), "embedding": batch.column("embedding"), "cell": pa.array(assign(x, tree)), "turned": box})
 
     raw = reps.schema["embedding"].dataType
-    located = reps.mapInArrow(locate, T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("embedding", raw), T.StructField("cell", T.IntegerType()), T.StructField("turned", T.ArrayType(T.DoubleType()))]))
+    located = reps.select("rep", "weight", "embedding").mapInArrow(locate, T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("embedding", raw), T.StructField("cell", T.IntegerType()), T.StructField("turned", T.ArrayType(T.DoubleType()))]))
     located = written(located)
     sides = [F.min(F.col("turned")[k]).alias(f"lo{k}") for k in range(lead)] + [F.max(F.col("turned")[k]).alias(f"hi{k}") for k in range(lead)]
     boxes = located.groupBy("cell").agg(F.count("*").alias("n"), *sides).orderBy("cell").collect()  # at most MAX_CELLS rows
@@ -229,9 +230,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     yield pa.RecordBatch.from_pydict({"rep": pa.array(ids[hit]), "root": pa.array(ids[label[hit]]), "links": pa.array(links[hit])})
 
     found = written(both.mapInArrow(compare, "rep long, root long, links long"))
-    comp = components(found.select("rep", "root"), "rep", "root")
+    comp = written(components(found.select("rep", "root"), "rep", "root").join(reps.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least"))
+    named = comp.groupBy("component").agg(F.min("least").alias("least"))
+    comp = comp.drop("least").join(written(named), "component").select("node", F.col("least").alias("named"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = reps.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    of_rep = of_rep.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    of_rep = of_rep.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("named", "least").alias("component"))
     done = rows.where("good").join(of_rep, rows.embedding == of_rep.e).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     return done.unionByName(alone.where(~F.col("good")).drop("good"))
