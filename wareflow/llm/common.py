@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.session import importable as ready
+from wareflow.session import importable
 
 __all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch", "scratch_path", "text_slices", "written"]
 
@@ -20,6 +20,19 @@ __all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch",
 CHUNK_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch unless the session sets a number of its own: texts are long, and a batch is held several times
+#: on its way to a worker and back.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Make the package importable on the workers, and batches small."""
+    importable(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
