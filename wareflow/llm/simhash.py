@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, ranges, ready, text_slices, written
+from .common import components, free_name, ranges, ready, scratch, text_slices, written
 
 SEED = 42
 #: Keys with more fingerprints than this are linked through shared neighbours instead of pairs.
 PAIR_LIMIT = 16
 #: Texts, about so many, that say which shingles are common; results don't depend on it.
 ORDER_TEXTS = 4000
+#: Texts that share a shingle from which on they are compared with leads first, and the number of rounds of leads.
+CROWD_LIMIT, LEADS = 24, 2
 
 
 def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
@@ -155,50 +157,92 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return met.where("b IS NOT NULL").unionByName(star).distinct()
 
 
-def similar_texts(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """(a, b): ``check`` of all pairs of texts in ``docs`` (check, text) with a Jaccard similarity of shingles of 4/5 or more.
+def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
+    """(a, b): pairs of ``check`` of texts in ``docs`` (check, text) with a Jaccard similarity of shingles of 4/5 or more, which
+    connect all texts that such pairs connect.
 
     Exact, up to equal 64-bit hashes: the shingles of every text are put in one order, and of two such texts the first
-    fifths (n - ceil(4n/5) + 1 of n shingles) have one in common. Those meet in a join, pairs whose lengths or places
-    rule the similarity out go, and the whole sets of the rest are compared. The order puts shingles that a sample of
-    texts shares last; which these are changes the cost only. A group of c near copies costs c * c / 2 comparisons.
+    fifths (n - ceil(4n/5) + 1 of n shingles) have one in common. Texts that share one meet: where they are few, all pairs whose
+    lengths or places don't rule the similarity out are compared. Where they are more than ``crowd_limit``, all are compared
+    with a few leads, and then those outside the largest component with all of other components, so that a
+    group of near copies costs about as many comparisons as it has members. The order puts shingles that a sample of
+    texts shares last; which these are changes the cost only.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
+    with scratch(spark):
+        return written(_similar(docs.select("check", "text"), words_per_shingle, crowd_limit), keep=True)
+
+
+def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> DataFrame:
+    def shingle_sets(col: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for at, data, offsets in text_slices(col, 1 << 20):
+            raw, ends = data.tobytes(), offsets.tolist()
+            yield at, [np.unique(shingle_hashes(raw[a:b], words_per_shingle).view(">i8").ravel().astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in text_slices(batch.column("text")):
-                raw, ends = data.tobytes(), offsets.tolist()
-                sets = [np.unique(shingle_hashes(raw[a:b], words_per_shingle).view(">i8").ravel().astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for at, sets in shingle_sets(batch.column("text")):
                 yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64()))})
 
-    sets = written(docs.select("check", "text").mapInArrow(run, "check long, h array<long>").where("size(h) > 0"))
-    share = min(1.0, ORDER_TEXTS / max(1, sets.count()))
-    drawn = sets.where(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["check"])
-    common = [r.k for r in drawn.select(F.explode("h").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 2").select("k").collect()]
-    late = np.sort(np.array(common, np.int64))
+    def sets_of(some: DataFrame) -> DataFrame:
+        return some.select("check", "text").mapInArrow(run, "check long, h array<long>").where("size(h) > 0")
+
+    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    drawn = texts.where(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["check"])
+    common = sets_of(drawn).select(F.explode("h").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 2").select("k").toArrow()
+    late = np.sort(common.column("k").to_numpy())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for check, h in zip(batch.column("check").to_pylist(), batch.column("h"), strict=True):
-                h = h.values.to_numpy()
-                n = len(h)
-                where = np.searchsorted(late, h)
-                last = late[np.minimum(where, len(late) - 1)] == h if len(late) else np.zeros(n, bool)
-                first = np.concatenate([h[~last], h[last]])[: n - (4 * n + 4) // 5 + 1]
-                m = len(first)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(first), "check": pa.array([check] * m, pa.int64()), "n": pa.array([n] * m, pa.int32()), "at": pa.array(np.arange(m, dtype=np.int32))})
-
-    keys = written(sets.mapInArrow(prefixes, "k long, check long, n int, at int").distinct())
-    shared = keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "k", "left_semi")
-    a, b = shared.alias("a"), shared.alias("b")
-    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.check") < F.col("b.check")) & (9 * most >= 4 * (F.col("a.n") + F.col("b.n"))))
-    pairs = written(met.select(F.col("a.check").alias("a"), F.col("b.check").alias("b")).distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()
-    whole = written(sets.join(used, "check", "left_semi").dropDuplicates(["check"]))
-    both = pairs.join(whole.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+            for at, sets in shingle_sets(batch.column("text")):
+                own = []
+                for h in sets:
+                    n = len(h)
+                    where = np.searchsorted(late, h)
+                    last = late[np.minimum(where, len(late) - 1)] == h if len(late) else np.zeros(n, bool)
+                    own.append(np.concatenate([h[~last], h[last]])[: n - (4 * n + 4) // 5 + 1] if n else h)
+                m = np.array([len(h) for h in own])
+                of = np.repeat(np.arange(len(own)), m)
+                check = batch.column("check").slice(at, len(own)).take(pa.array(of))
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(own)), "check": check, "n": pa.array(np.array([len(h) for h in sets], np.int32)[of]), "at": pa.array(ranges(np.zeros(len(m), np.int64), m).astype(np.int32))})
+
+    keys = written(texts.mapInArrow(prefixes, "k long, check long, n int, at int"))
+    several = written(keys.groupBy("k").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("k"))
+    shared = written(keys.join(several, "k", "left_semi").distinct())
+    sizes = written(shared.groupBy("k").agg(F.count("*").alias("c")))
+    used = shared.select("check").distinct()
+    whole = written(sets_of(texts.join(used, "check", "left_semi").dropDuplicates(["check"])))
+
+    def meet(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+        met = a.join(b, (F.col("a.k") == F.col("b.k")) & apart & (9 * most >= 4 * (F.col("a.n") + F.col("b.n"))))
+        return met.select(F.least("a.check", "b.check").alias("a"), F.greatest("a.check", "b.check").alias("b")).distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(whole.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
+        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+    few = shared.join(sizes.where(F.col("c") <= crowd_limit), "k")
+    edges = written(alike(written(meet(few, few, F.col("a.check") < F.col("b.check")))))
+    crowds = written(shared.join(sizes.where(F.col("c") > crowd_limit), "k").drop("c"))
+    if crowds.isEmpty():
+        return edges
+
+    def labelled() -> DataFrame:
+        found = written(components(edges))
+        return written(crowds.join(found, F.col("check") == F.col("node"), "left").withColumn("label", F.coalesce("component", "check")).drop("node", "component"))
+
+    now = labelled()
+    for k in range(LEADS):
+        lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"))).alias("m")).select("k", "m.of", "m.own")
+        pairs = now.join(written(lead), "k").where("label <> own").select(F.least("check", "of").alias("a"), F.greatest("check", "of").alias("b")).distinct()
+        edges = written(edges.unionByName(alike(written(pairs))))
+        now = labelled()
+    main = now.groupBy("k", "label").agg(F.count("*").alias("m")).groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    outside = now.join(written(main), "k").where("label <> main")
+    return edges.unionByName(alike(written(meet(outside, now, F.col("a.label") != F.col("b.label")))))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +252,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, si
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     edges = links(fps)
     if similar:
-        near = written(similar_texts(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle))
+        near = similar_texts(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle)
         of = written(rows.join(near.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "check", "left_semi").select("check", "fp").distinct())
         near = near.join(of.select(F.col("check").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("check").alias("b"), F.col("fp").alias("fb")), "b")
         edges = edges.unionByName(near.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))).distinct()
