@@ -114,11 +114,11 @@ def test_keep_first_of_edited_copies(spark):
     assert len(set(label.values())) < len(set(closure(sets, close).values()))
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(label.values()))
     checks = {r.check: r.doc_id for r in df.select("doc_id", F.xxhash64("text").alias("check")).collect()}
-    found = simhash.similar_texts(df.select(F.xxhash64("text").alias("check"), "text")).collect()
+    found = simhash.similar_texts(df.select("doc_id", F.xxhash64("text").alias("check"), "text")).collect()
     want = {tuple(sorted((rows_of, other))) for rows_of, other in near if rows_of in checks.values() and other in checks.values()}
     assert {tuple(sorted((checks[r.a], checks[r.b]))) for r in found} == want and len(want) > 20
     # Crowds are connected by fewer pairs, all of them true ones.
-    some = simhash.similar_texts(df.select(F.xxhash64("text").alias("check"), "text"), crowd_limit=2).collect()
+    some = simhash.similar_texts(df.select("doc_id", F.xxhash64("text").alias("check"), "text"), crowd_limit=2).collect()
     some = {tuple(sorted((checks[r.a], checks[r.b]))) for r in some}
     assert some < want and closure(sets, some) == closure(sets, want)
 

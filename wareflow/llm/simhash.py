@@ -158,7 +158,7 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
-    """(a, b): pairs of ``check`` of texts in ``docs`` (check, text) with a Jaccard similarity of shingles of 4/5 or more, which
+    """(a, b): pairs of ``check`` of texts in ``docs`` (doc_id, check, text) with a Jaccard similarity of shingles of 4/5 or more, which
     connect all texts that such pairs connect.
 
     Exact, up to equal 64-bit hashes: the shingles of every text are put in one order, and of two such texts the first
@@ -171,7 +171,7 @@ def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int
     spark = docs.sparkSession
     ready(spark)
     with scratch(spark):
-        return written(_similar(docs.select("check", "text"), words_per_shingle, crowd_limit), keep=True)
+        return written(_similar(docs, words_per_shingle, crowd_limit).distinct(), keep=True)
 
 
 def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> DataFrame:
@@ -207,12 +207,11 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
                 check = batch.column("check").slice(at, len(own)).take(pa.array(of))
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(own)), "check": check, "n": pa.array(np.array([len(h) for h in sets], np.int32)[of]), "at": pa.array(ranges(np.zeros(len(m), np.int64), m).astype(np.int32))})
 
-    keys = written(texts.mapInArrow(prefixes, "k long, check long, n int, at int"))
-    several = written(keys.groupBy("k").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("k"))
-    shared = written(keys.join(several, "k", "left_semi").distinct())
-    sizes = written(shared.groupBy("k").agg(F.count("*").alias("c")))
-    used = shared.select("check").distinct()
-    whole = written(sets_of(texts.join(used, "check", "left_semi").dropDuplicates(["check"])))
+    # One shuffle: rows of a shingle lie side by side, so copies and shingles of one text are told by their neighbours.
+    every = Window.partitionBy("k")
+    new = F.coalesce(F.lag("check").over(every.orderBy("check")) != F.col("check"), F.lit(True))
+    keys = texts.mapInArrow(prefixes, "k long, check long, n int, at int").withColumn("new", new)
+    shared = written(keys.withColumn("c", F.sum(F.col("new").cast("int")).over(every)).where("new AND c > 1").drop("new"))
 
     def meet(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
         a, b = x.alias("a"), y.alias("b")
@@ -224,9 +223,14 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
         both = pairs.join(whole.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
         return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
-    few = shared.join(sizes.where(F.col("c") <= crowd_limit), "k")
-    edges = written(alike(written(meet(few, few, F.col("a.check") < F.col("b.check")))))
-    crowds = written(shared.join(sizes.where(F.col("c") > crowd_limit), "k").drop("c"))
+    few = shared.where(F.col("c") <= crowd_limit)
+    crowds = shared.where(F.col("c") > crowd_limit).drop("c")
+    pairs = written(meet(few, few, F.col("a.check") < F.col("b.check")))
+    used = written(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
+    one = texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id"))
+    one = written(one)  # a table of known size, which a join may broadcast so that texts stay where they are
+    whole = written(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
+    edges = written(alike(pairs))
     if crowds.isEmpty():
         return edges
 
@@ -252,7 +256,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, si
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     edges = links(fps)
     if similar:
-        near = similar_texts(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle)
+        near = similar_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle)
         of = written(rows.join(near.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "check", "left_semi").select("check", "fp").distinct())
         near = near.join(of.select(F.col("check").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("check").alias("b"), F.col("fp").alias("fb")), "b")
         edges = edges.unionByName(near.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))).distinct()
