@@ -27,7 +27,7 @@ PAIR_LIMIT = 16
 #: Texts, about so many, that say which shingles are common; results don't depend on it.
 ORDER_TEXTS = 4000
 #: Texts that share a shingle from which on they are compared with leads first, and the number of rounds of leads.
-CROWD_LIMIT, LEADS = 24, 2
+CROWD_LIMIT, LEADS = 24, 3
 
 
 def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
@@ -240,8 +240,10 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
 
     now = labelled()
     for k in range(LEADS):
-        lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"))).alias("m")).select("k", "m.of", "m.own")
-        pairs = now.join(written(lead), "k").where("label <> own").select(F.least("check", "of").alias("a"), F.greatest("check", "of").alias("b")).distinct()
+        lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"))).alias("m")).select("k", "m.*")
+        # One lead for each text, the first one in the order of all its shingles, so pairs are as many as texts at most.
+        first = now.join(written(lead), "k").where("label <> own").groupBy("check").agg(F.min(F.struct("order", "of")).alias("m"))
+        pairs = first.select(F.least("check", "m.of").alias("a"), F.greatest("check", "m.of").alias("b")).distinct()
         edges = written(edges.unionByName(alike(written(pairs))))
         now = labelled()
     main = now.groupBy("k", "label").agg(F.count("*").alias("m")).groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
