@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,19 @@ def mismatches(wide: DataFrame, values: DataFrame, key: str, column: str) -> Dat
     return wide.select(key, F.col(column).cast("string").alias("_wide")).join(long, key).where(~F.col("_wide").eqNullSafe(F.col("_long")))
 
 
+def latest_finished(runs: DataFrame, source: str, order: list[Column], statuses: tuple[str, ...] = ("done", "partial")) -> DataFrame:
+    """The first run of each source in ``order`` among those that came to an end."""
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    return runs.where(F.col("status").isin(*statuses)).withColumn("_k", rank).where("_k = 1").drop("_k")
+
+
+def probes(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, n_hits, status): PASS for each probe query (query_id, ...) that has a row in ``hits`` (query_id, ...)."""
+    n = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+    asked = queries.select("query_id").distinct().join(n, "query_id", "left").na.fill(0, ["n_hits"])
+    return asked.withColumn("status", F.when(F.col("n_hits") > 0, "PASS").otherwise("FAIL"))
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,13 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: in
     return top_k(scored, "query_id", k, [F.desc("cosine"), F.col("vec_id")])
 
 
+def cosine_top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, block: int = 500) -> DataFrame:
+    """As ``cosine_top_k`` for any number of queries: blocks of about ``block`` of them, one scan of the vectors each."""
+    blocks = max(1, -(-queries.count() // block))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [cosine_top_k(queries.where(own == b), vectors, k, 4 * block) for b in range(blocks)])
+
+
 def cell_index(vectors: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 7):
     """(vectors with a cell, model): k-means over unit vectors, fitted on about ``sample_rows`` rows, every row in a cell.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareflow.functions import text
-from wareflow.operators import bundles, filters, graph, search
+from wareflow.operators import bundles, filters, graph, quality, search
 
 from .registry import Tables, query
 
@@ -48,11 +48,21 @@ def typo_matches(t: Tables):
 
 
 @query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), u AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS v FROM e WHERE list_sum([y * y FOR y IN v]) > 0),
-r AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, u.v)]), 6) AS cosine FROM u, (SELECT * FROM u WHERE vec_id < 20) q)
+r AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, u.v)]), 6) AS cosine FROM u, (SELECT * FROM u WHERE vec_id % 20 = 0) q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM r) WHERE rank <= 5""")
 def cosine_top(t: Tables):
-    """The five nearest vectors of a stated list of twenty query vectors."""
-    return search.cosine_top_k(t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t.embeddings, 5)
+    """The five nearest vectors of every vector whose id is divisible by 20, in blocks of about 500 queries."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.cosine_top_k_blocks(q, t.embeddings, 5)
+
+
+@query(f"""WITH {_TOK}, {_Q}, h AS (SELECT DISTINCT query_id, doc FROM q JOIN tok USING (term)), n AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1), d AS (SELECT DISTINCT query_id FROM q)
+SELECT d.query_id, COALESCE(n.n, 0) AS n_hits, CASE WHEN n.n > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM d LEFT JOIN n USING (query_id)""")
+def search_probes(t: Tables):
+    """Each probe query must find a document."""
+    q = query_terms(t)
+    hits = q.join(search.tokens(t.documents, "doc_id", "text"), "term").select("query_id", "doc").distinct()
+    return quality.probes(q, hits)
 
 
 @query("""WITH h AS (SELECT p.*, s.ram_gb FROM products p JOIN specs s ON s.product_id = p.id WHERE list_contains(string_split(name, ' '), 'red') AND price_vnd <= 99000) SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM h GROUP BY 2""", "products specs")
