@@ -68,6 +68,16 @@ def test_malformed_dump_fails_and_tolerant_read_skips(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 4
 
 
+def test_canonical_hash(spark):
+    def row(url, price="5", specs=None, at="2024-01-01T00:00:00+0700", text=None):
+        return {"source_url": url, "category": "c", "name": "n", "prices": {"list_price": price}, "normalized_specs": specs or {"a": "1", "b": None}, "crawled_at": at, "description": text}
+
+    dump = [row("u1"), row("u2", specs={"b": None, "a": "1"}, at="2025-01-01T00:00:00+0700"), row("u3", price="6"), row("u4", specs={"a": "1"}), row("u5", text="")]
+    df = spark.createDataFrame(dump, ingest.DUMP_SCHEMA).withColumn("row_order", F.monotonically_increasing_id())
+    h = {r.source_url: r.h for r in ingest.parse(df, "shop")[0].select("source_url", ingest.canonical_hash().alias("h")).collect()}
+    assert h["u1"] == h["u2"] and len(set(h.values())) == 4 and len(ingest.BUSINESS_FIELDS) == 19
+
+
 def test_run_status(spark):
     df = spark.createDataFrame([(0, 100, 100), (1, 200, 200), (2, 100, 100), (1, 200, 189), (0, 100, 90)], "f long, t long, p long")
     assert [r[0] for r in df.select(ingest.run_status(F.col("f"), F.col("t"), F.col("p"))).collect()] == ["done", "partial", "failed", "failed", "done"]

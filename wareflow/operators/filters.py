@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRINGS = ["category", "subcategory", "brand", "stock_status", "gpu_model", "cpu_model", "socket"]
+# Bounds and sorts by name.
 BOUNDS = {"price_min": ("price_vnd", ">="), "price_max": ("price_vnd", "<="), "ram_min": ("ram_gb", ">="), "ram_max": ("ram_gb", "<="), "storage_min": ("storage_gb", ">="), "storage_max": ("storage_gb", "<="), "screen_min": ("screen_inches", ">="), "refresh_rate_min": ("refresh_rate_hz", ">=")}
 ALIASES = {"min_price": "price_min", "max_price": "price_max"}
 IGNORED = ["source", "sort", "limit"]
@@ -60,7 +61,7 @@ def has(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "0.0") == False  # noqa: E712
 
 
-#: Roles by columns that are null or not, as candidates and edges use them; a product may have several.
+# Roles by columns that are null or not, as candidates and edges use them; a product may have several.
 ROLES = {
     "cpu": "cpu_cores IS NOT NULL",
     "mobo": "form_factor IS NOT NULL AND cpu_cores IS NULL",
@@ -85,6 +86,7 @@ def item_role(role: str) -> Column:
 
 def preference(role: str, pref: str) -> Column:
     """Vendor by brand, socket or model, in any letter case; other values let everything through."""
+    # What tells a vendor.
     likes = {
         ("cpu", "intel"): [("brand", "%intel%"), ("socket", "LGA%"), ("socket", "%1700%"), ("socket", "%1851%")],
         ("cpu", "amd"): [("brand", "%amd%"), ("socket", "AM%")],

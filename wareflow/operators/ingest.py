@@ -57,6 +57,16 @@ def sorted_json(m: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))), {"ignoreNullFields": "false"})
 
 
+# The fields whose change makes a product another version; times, paths, warnings and status are none of them.
+BUSINESS_FIELDS = "name brand category subcategory thumbnail_url images price_vnd list_price_vnd sale_price_vnd build_pc_price_vnd regional_price_vnd stock_status stock_quantity warranty warranty_months description breadcrumbs raw_specs normalized_specs".split()
+
+
+def canonical_hash() -> Column:
+    """SHA-256 over the business fields of a parsed row, whatever the order of its maps; nulls count."""
+    fields = [(sorted_json(F.col(c)) if c.endswith("_specs") else F.col(c)).alias(c) for c in sorted(BUSINESS_FIELDS)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
 def spec_values(rows: DataFrame) -> DataFrame:
     """(product_id, spec_key, normalized_key, spec_index, value_text, value_num, unit, group_name): one row for each value.
 
