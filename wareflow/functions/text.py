@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -177,41 +178,46 @@ def words(c: Column) -> Column:
     return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+# Search forms of a product in their order. Numbers stand for groups of the model's pattern, names for values; of
+# forms parted by | the first complete one counts, and a form that lacks a part is left out.
+MODEL_FORMS = [
+    ("cpu", r"\bi([3579])-?\s*(\d{4,5}[a-z]*)\b", ["i{1}-{2}", "i{1} {2}", "i{1}{2}"]),
+    ("cpu", r"ryzen\s+([3579])\s+(\d{4,5}[a-z]*)", ["ryzen {1} {2}", "r{1} {2}"]),
+    ("gpu", r"\b(rtx|gtx|rx)\s*(\d{3,4})(?:\s*(ti))?\b", ["{1} {2} {3}|{1} {2}", "{1}{2}{3}|{1}{2}", "{2} {3}"]),
+]
+VALUE_FORMS = ["{ram}gb", "{ram} gb", "{kind}", "{ram}gb {kind}", "{disk}gb", "{disk} gb", "ssd{ssd}", "{tb}tb", "{size} inch", "{size}inch", "{rate}hz", "{rate} hz"]
+
+
+def _form(template: str, parts: dict[str, Column]) -> Column:
+    """``template`` with its parts filled in; null where one of them is."""
+
+    def one(t: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", t)  # literals and names take turns
+        return F.concat(*[parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces) if x])
+
+    return F.coalesce(*[one(t) for t in template.split("|")])
+
+
 def alias_tokens(cpu: Column, gpu: Column, ram_gb: Column, ram_type: Column, storage_gb: Column, storage_type: Column, inches: Column, hz: Column, *texts: Column) -> Column:
     """Ordered distinct search forms of a product: model names spaced and compact, sizes with units, unaccented ``texts``."""
-    intel_re, ryzen_re, card_re = r"\bi([3579])-?\s*([0-9]{4,5}[a-z]*)\b", r"ryzen\s+([3579])\s+([0-9]{4,5}[a-z]*)", r"\b(rtx|gtx|rx)\s*([0-9]{3,4})(\s*ti)?\b"
-    part = lambda c, p, k: F.regexp_extract(F.lower(c), p, k)
-    join = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
-    i, ino, r, rno = part(cpu, intel_re, 1), part(cpu, intel_re, 2), part(cpu, ryzen_re, 1), part(cpu, ryzen_re, 2)
-    card, no, ti = part(gpu, card_re, 1), part(gpu, card_re, 2), F.trim(part(gpu, card_re, 3))
-    name = F.concat_ws(" ", card, no, F.nullif(ti, F.lit("")))
-    ram, kind, disk = F.nullif(ram_gb, F.lit(0)).cast("string"), F.nullif(F.lower(ram_type), F.lit("")), F.nullif(storage_gb, F.lit(0))
-    size = F.regexp_replace(inches.cast("string"), r"\.?0*$", "")
-    rate = F.nullif(hz, F.lit(0)).cast("string")
-    tokens = [
-        F.when(i != "", join("i", i, "-", ino)),
-        F.when(i != "", join("i", i, " ", ino)),
-        F.when(i != "", join("i", i, ino)),
-        F.when(r != "", join("ryzen ", r, " ", rno)),
-        F.when(r != "", join("r", r, " ", rno)),
-        F.when(card != "", name),
-        F.when(card != "", F.replace(name, F.lit(" "), F.lit(""))),
-        F.when(ti != "", join(no, " ", ti)),
-        join(ram, "gb"),
-        join(ram, " gb"),
-        F.when(ram.isNotNull(), kind),
-        join(ram, "gb ", kind),
-        join(disk.cast("string"), "gb"),
-        join(disk.cast("string"), " gb"),
-        F.when(F.lower(storage_type).contains("ssd"), join("ssd", disk.cast("string"))),
-        F.when((disk >= 1024) & (disk % 1024 == 0), join((disk / 1024).cast("int").cast("string"), "tb")),
-        F.when(inches.isNotNull() & (inches != 0), join(size, " inch")),
-        F.when(inches.isNotNull() & (inches != 0), join(size, "inch")),
-        join(rate, "hz"),
-        join(rate, " hz"),
-        *[F.when(fold(t) != F.lower(t), fold(t)) for t in texts],
-    ]
-    return F.array_distinct(F.array_compact(F.array(*tokens)))
+    number = lambda c: F.nullif(c, F.lit(0))
+    ram, disk = number(ram_gb), number(storage_gb)
+    values = {
+        "ram": ram.cast("string"),
+        "kind": F.when(ram.isNotNull(), F.nullif(F.lower(ram_type), F.lit(""))),
+        "disk": disk.cast("string"),
+        "ssd": F.when(F.lower(storage_type).contains("ssd"), disk.cast("string")),
+        "tb": F.when((disk >= 1024) & (disk % 1024 == 0), (disk / 1024).cast("int").cast("string")),
+        "size": F.when(inches != 0, F.regexp_replace(inches.cast("string"), r"\.?0*$", "")),
+        "rate": number(hz).cast("string"),
+    }
+    source, forms = {"cpu": F.lower(cpu), "gpu": F.lower(gpu)}, []
+    for of, pattern, templates in MODEL_FORMS:
+        groups = {str(k): F.nullif(F.regexp_extract(source[of], pattern, k), F.lit("")) for k in range(1, re.compile(pattern).groups + 1)}
+        forms += [_form(t, groups) for t in templates]
+    forms += [_form(t, values) for t in VALUE_FORMS]
+    forms += [F.when(fold(t) != F.lower(t), fold(t)) for t in texts]
+    return F.array_distinct(F.array_compact(F.array(*forms)))
 
 
 def spec_summary(cpu: Column, ram_gb: Column, ram_type: Column, storage_gb: Column, storage_type: Column, gpu: Column, inches: Column, hz: Column) -> Column:
