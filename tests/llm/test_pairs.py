@@ -297,3 +297,13 @@ def test_contamination(spark):
     spans = decontam.scan(df.where("doc_id = 103"), bench).where("text LIKE '%\n%'").first().hit.byte_spans
     assert [(s.first, s.end) for s in spans] == [(0, 7)]
     assert decontam.report(df, bench.where(F.lit(False))).where("n_hit > 0").count() == 0
+
+
+def test_parity_bitmap_never_differs_in_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 9000):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        b = np.unique(np.concatenate([a[: n - n // 9], rng.integers(-(1 << 63), 1 << 63, n // 9)]))
+        differ = int(np.bitwise_count((simhash.parity_bitmap(a) ^ simhash.parity_bitmap(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+    assert not simhash.parity_bitmap(np.zeros(0, np.int64)).any()

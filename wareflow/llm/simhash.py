@@ -11,6 +11,7 @@ a star around each value finds every link with as many rows as fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ PAIR_LIMIT = 16
 ORDER_TEXTS = 4000
 #: Texts that share a shingle from which on they are compared with leads first, and the number of rounds of leads.
 CROWD_LIMIT, LEADS = 24, 3
+#: Longs of the bitmap of a text's shingles, which rules out pairs without their shingles.
+BITMAP_LONGS = 8
 
 
 def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
@@ -45,6 +48,15 @@ def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
     return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
 
 
+def parity_bitmap(hashes: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
+    """Bitmap whose bit i says whether an odd number of distinct hashes fall on i.
+
+    Shingles of both of two texts cancel, so their bitmaps differ in no more bits than the texts in shingles.
+    """
+    odd = np.bincount(hashes & (64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def fingerprint_of(raw: bytes, words_per_shingle: int = 3) -> int:
     """64-bit SimHash of UTF-8 bytes."""
     hashes = shingle_hashes(raw, words_per_shingle)
@@ -165,7 +177,8 @@ def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int
     fifths (n - ceil(4n/5) + 1 of n shingles) have one in common. Texts that share one meet: where they are few, all pairs whose
     lengths or places don't rule the similarity out are compared. Where they are more than ``crowd_limit``, all are compared
     with a few leads, and then those outside the largest component with all of other components, so that a
-    group of near copies costs about as many comparisons as it has members. The order puts shingles that a sample of
+    group of near copies costs about as many comparisons as it has members. Bitmaps of their shingles rule most pairs of
+    unlike texts out first, which loses no link. The order puts shingles that a sample of
     texts shares last; which these are changes the cost only.
     """
     spark = docs.sparkSession
@@ -183,10 +196,11 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column("text")):
-                yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64()))})
+                bits = pa.array([parity_bitmap(h) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64())), "bits": bits})
 
     def sets_of(some: DataFrame) -> DataFrame:
-        return some.select("check", "text").mapInArrow(run, "check long, h array<long>").where("size(h) > 0")
+        return some.select("check", "text").mapInArrow(run, "check long, h array<long>, bits array<long>").where("size(h) > 0")
 
     share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
     drawn = texts.where(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["check"])
@@ -213,6 +227,11 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
     keys = texts.mapInArrow(prefixes, "k long, check long, n int, at int").withColumn("new", new)
     shared = written(keys.withColumn("c", F.sum(F.col("new").cast("int")).over(every)).where("new AND c > 1").drop("new"))
 
+    def within(a: str, b: str) -> Column:
+        """Whether bitmaps leave a similarity of 4/5 possible: then at most a ninth of all shingles are of one text only."""
+        differ = reduce(Column.__add__, [F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(BITMAP_LONGS)])
+        return 9 * differ <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
     def meet(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
         a, b = x.alias("a"), y.alias("b")
         most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -233,6 +252,7 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
     edges = written(alike(pairs))
     if crowds.isEmpty():
         return edges
+    crowds = written(crowds.join(whole.select("check", "bits").dropDuplicates(["check"]), "check"))
 
     def labelled() -> DataFrame:
         found = written(components(edges))
@@ -240,15 +260,15 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
 
     now = labelled()
     for k in range(LEADS):
-        lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"))).alias("m")).select("k", "m.*")
-        # One lead for each text, the first one in the order of all its shingles, so pairs are as many as texts at most.
-        first = now.join(written(lead), "k").where("label <> own").groupBy("check").agg(F.min(F.struct("order", "of")).alias("m"))
+        lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"), F.col("n"), F.col("bits"))).alias("m")).select("k", "m.*")
+        # One lead for each text, the first possible one in the order of all its shingles, so pairs are as many as texts at most.
+        first = now.alias("a").join(written(lead).alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("label") != F.col("own")) & within("a", "b")).groupBy("check").agg(F.min(F.struct("order", "of")).alias("m"))
         pairs = first.select(F.least("check", "m.of").alias("a"), F.greatest("check", "m.of").alias("b")).distinct()
         edges = written(edges.unionByName(alike(written(pairs))))
         now = labelled()
     main = now.groupBy("k", "label").agg(F.count("*").alias("m")).groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     outside = now.join(written(main), "k").where("label <> main")
-    return edges.unionByName(alike(written(meet(outside, now, F.col("a.label") != F.col("b.label")))))
+    return edges.unionByName(alike(written(meet(outside, now, (F.col("a.label") != F.col("b.label")) & within("a", "b")))))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
