@@ -31,6 +31,8 @@ ORDER_TEXTS = 4000
 CROWD_LIMIT, LEADS = 24, 3
 #: Longs of the bitmap of a text's shingles, which rules out pairs without their shingles.
 BITMAP_LONGS = 8
+#: Texts to compare, of 16 bytes each, whose list goes to the texts; beyond it both are shuffled by hash.
+BROADCAST_TEXTS = 1_000_000
 
 
 def shingle_hashes(raw: bytes, words_per_shingle: int) -> np.ndarray:
@@ -59,14 +61,23 @@ def parity_bitmap(hashes: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
 
 def fingerprint_of(raw: bytes, words_per_shingle: int = 3) -> int:
     """64-bit SimHash of UTF-8 bytes."""
-    hashes = shingle_hashes(raw, words_per_shingle)
+    return majority(shingle_hashes(raw, words_per_shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per_shingle: int = 3) -> DataFrame:
+def distinct_shingles(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.view(">i8").ravel().astype(np.int64))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per_shingle: int = 3, marks: bool = False) -> DataFrame:
     """Replace column ``text`` by its SimHash ``out`` (long, the 64 bits as a signed number).
 
+    With ``marks`` also columns n, the number of different shingles, and bits, their parity bitmap.
+
     Null and empty texts get zero; fewer words than a shingle has make one shingle. Whole texts count.
     """
     ready(docs.sparkSession)
@@ -74,14 +85,21 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
+            values, sizes, bits = [], [], []
             for _, data, offsets in text_slices(batch.column(text)):
                 raw, ends = data.tobytes(), offsets.tolist()
-                values += [fingerprint_of(raw[a:b], words_per_shingle) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            cols = {f.name: batch.column(f.name) for f in fields}
-            yield pa.RecordBatch.from_pydict(cols | {out: pa.array(np.array(values, np.uint64).view(np.int64))})
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    hashes = shingle_hashes(raw[a:b], words_per_shingle)
+                    values.append(majority(hashes))
+                    if marks:
+                        own = distinct_shingles(hashes)
+                        sizes.append(len(own))
+                        bits.append(parity_bitmap(own))
+            cols = {f.name: batch.column(f.name) for f in fields} | {out: pa.array(np.array(values, np.uint64).view(np.int64))}
+            yield pa.RecordBatch.from_pydict(cols | ({"n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.list_(pa.int64()))} if marks else {}))
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.LongType())]))
+    more = [T.StructField("n", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType()))] if marks else []
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.LongType()), *more]))
 
 
 def _variants(fp: Column) -> Column:
@@ -169,7 +187,7 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return met.where("b IS NOT NULL").unionByName(star).distinct()
 
 
-def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int = CROWD_LIMIT) -> DataFrame:
+def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int = CROWD_LIMIT, marks: DataFrame | None = None) -> DataFrame:
     """(a, b): pairs of ``check`` of texts in ``docs`` (doc_id, check, text) with a Jaccard similarity of shingles of 4/5 or more, which
     connect all texts that such pairs connect.
 
@@ -178,29 +196,31 @@ def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int
     lengths or places don't rule the similarity out are compared. Where they are more than ``crowd_limit``, all are compared
     with a few leads, and then those outside the largest component with all of other components, so that a
     group of near copies costs about as many comparisons as it has members. Bitmaps of their shingles rule most pairs of
-    unlike texts out first, which loses no link. The order puts shingles that a sample of
+    unlike texts out before their shingles are read, which loses no link; ``marks`` (check, n, bits) are those of ``fingerprints``. The order puts shingles that a sample of
     texts shares last; which these are changes the cost only.
     """
     spark = docs.sparkSession
     ready(spark)
     with scratch(spark):
-        return written(_similar(docs, words_per_shingle, crowd_limit).distinct(), keep=True)
+        if marks is None:
+            marks = fingerprints(docs.select("check", "text"), words_per_shingle=words_per_shingle, marks=True)
+        marks = written(marks.select("check", "n", "bits").dropDuplicates(["check"]))
+        return written(_similar(docs, words_per_shingle, crowd_limit, marks).distinct(), keep=True)
 
 
-def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> DataFrame:
+def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks: DataFrame) -> DataFrame:
     def shingle_sets(col: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         for at, data, offsets in text_slices(col, 1 << 20):
             raw, ends = data.tobytes(), offsets.tolist()
-            yield at, [np.unique(shingle_hashes(raw[a:b], words_per_shingle).view(">i8").ravel().astype(np.int64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield at, [distinct_shingles(shingle_hashes(raw[a:b], words_per_shingle)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column("text")):
-                bits = pa.array([parity_bitmap(h) for h in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64())), "bits": bits})
+                yield pa.RecordBatch.from_pydict({"check": batch.column("check").slice(at, len(sets)), "h": pa.array(sets, pa.list_(pa.int64()))})
 
     def sets_of(some: DataFrame) -> DataFrame:
-        return some.select("check", "text").mapInArrow(run, "check long, h array<long>, bits array<long>").where("size(h) > 0")
+        return some.select("check", "text").mapInArrow(run, "check long, h array<long>").where("size(h) > 0")
 
     share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
     drawn = texts.where(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["check"])
@@ -245,14 +265,17 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
     few = shared.where(F.col("c") <= crowd_limit)
     crowds = shared.where(F.col("c") > crowd_limit).drop("c")
     pairs = written(meet(few, few, F.col("a.check") < F.col("b.check")))
+    x, y = marks.withColumnRenamed("check", "a").alias("x"), marks.withColumnRenamed("check", "b").alias("y")
+    pairs = written(pairs.join(x, "a").join(y, "b").where(within("x", "y")).select("a", "b"))
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
     one = texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id"))
-    one = written(one)  # a table of known size, which a join may broadcast so that texts stay where they are
+    one = written(one)
+    one = F.broadcast(one) if one.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else one  # so that texts stay where they are
     whole = written(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
     edges = written(alike(pairs))
     if crowds.isEmpty():
         return edges
-    crowds = written(crowds.join(whole.select("check", "bits").dropDuplicates(["check"]), "check"))
+    crowds = written(crowds.join(marks.select("check", "bits"), "check"))
 
     def labelled() -> DataFrame:
         found = written(components(edges))
@@ -274,11 +297,11 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int) -> Data
 def _grouped(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows (doc_id, check, fp) of all documents, and the group of each fingerprint (fp, component, first_id)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text"))
-    rows = written(fingerprints(rows, words_per_shingle=words_per_shingle))
+    rows = written(fingerprints(rows, words_per_shingle=words_per_shingle, marks=similar))
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     edges = links(fps)
     if similar:
-        near = similar_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle)
+        near = similar_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("check"), F.col(text).alias("text")), words_per_shingle, marks=rows)
         of = written(rows.join(near.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "check", "left_semi").select("check", "fp").distinct())
         near = near.join(of.select(F.col("check").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("check").alias("b"), F.col("fp").alias("fb")), "b")
         edges = edges.unionByName(near.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))).distinct()
