@@ -258,8 +258,15 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
         met = a.join(b, (F.col("a.k") == F.col("b.k")) & apart & (9 * most >= 4 * (F.col("a.n") + F.col("b.n"))))
         return met.select(F.least("a.check", "b.check").alias("a"), F.greatest("a.check", "b.check").alias("b")).distinct()
 
+    def listed(some: DataFrame) -> DataFrame:
+        """``some``, a written table of few longs a row, to be broadcast if it is small, so that the other side stays where it is."""
+        return F.broadcast(some) if some.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else some
+
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(whole.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
+        """Of written ``pairs`` the similar ones; only the shingles of their texts are shuffled where the pairs are few."""
+        needed = listed(written(pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()))
+        sets = whole.join(needed, "check", "left_semi")
+        both = pairs.join(sets.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
         return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
     few = shared.where(F.col("c") <= crowd_limit)
@@ -269,8 +276,7 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
     pairs = written(pairs.join(x, "a").join(y, "b").where(within("x", "y")).select("a", "b"))
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
     one = texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id"))
-    one = written(one)
-    one = F.broadcast(one) if one.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else one  # so that texts stay where they are
+    one = listed(written(one))
     whole = written(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
     edges = written(alike(pairs))
     if crowds.isEmpty():
