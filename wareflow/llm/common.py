@@ -119,8 +119,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected long edges: (node, component), component the least node.
 
     Alternates two star contractions over written edge tables: every node hands its larger neighbours
-    to its least neighbour, then its smaller ones. Each round is one min-aggregate and one equi-join, so
-    memory per task doesn't depend on the size of a component, and rounds grow with its logarithm.
+    to its least neighbour, then its smaller ones. Each contraction is one min-aggregate and one equi-join, so
+    memory per task doesn't depend on the size of a component, and rounds grow with its logarithm. They end once every
+    edge points to the centre of a star; edges that are such stars already, as the result of an earlier call is, need none.
     Self edges and nulls are ignored; nodes without another edge are not returned.
     """
     spark = edges.sparkSession
@@ -128,14 +129,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     path = scratch_path(spark)
     now = written(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path)
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    def stars() -> bool:
+        """Whether no node points to two others, or points to one and is pointed to."""
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+        )
+        return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 AND out > 0").isEmpty()
 
-    before = state(now)
-    while True:
+    while not stars():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Every edge gives one at most, so equal ones can wait for the end of the round.
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Now every edge points from a node to a smaller one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -149,11 +154,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new_path = scratch_path(spark)
         now = written(small, new_path)
         drop_path(spark, path)
-        path, after = new_path, state(now)
-        if after == before:
-            break
-        before = after
-    # Stars: each node points to the least one of its component.
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
+        path = new_path
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -283,18 +283,21 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
         return edges
     crowds = written(crowds.join(marks.select("check", "bits"), "check"))
 
-    def labelled() -> DataFrame:
-        found = written(components(edges))
+    def labelled(found: DataFrame) -> DataFrame:
         return written(crowds.join(found, F.col("check") == F.col("node"), "left").withColumn("label", F.coalesce("component", "check")).drop("node", "component"))
 
-    now = labelled()
+    found = components(edges)
+    now = labelled(found)
     for k in range(LEADS):
         lead = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("check", F.lit(k)).alias("order"), F.col("check").alias("of"), F.col("label").alias("own"), F.col("n"), F.col("bits"))).alias("m")).select("k", "m.*")
         # One lead for each text, the first possible one in the order of all its shingles, so pairs are as many as texts at most.
         first = now.alias("a").join(written(lead).alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("label") != F.col("own")) & within("a", "b")).groupBy("check").agg(F.min(F.struct("order", "of")).alias("m"))
         pairs = first.select(F.least("check", "m.of").alias("a"), F.greatest("check", "m.of").alias("b")).distinct()
-        edges = written(edges.unionByName(alike(written(pairs))))
-        now = labelled()
+        more = written(alike(written(pairs)))
+        edges = edges.unionByName(more)
+        # The stars found so far stand for all earlier edges.
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        now = labelled(found)
     main = now.groupBy("k", "label").agg(F.count("*").alias("m")).groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     outside = now.join(written(main), "k").where("label <> main")
     return edges.unionByName(alike(written(meet(outside, now, (F.col("a.label") != F.col("b.label")) & within("a", "b")))))
