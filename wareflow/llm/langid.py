@@ -111,7 +111,7 @@ class Model:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> None:
         """Fit on (buckets, counts, language number); every fifth row is kept for the temperature."""
-        data = [(np.append(w, BUCKETS), np.append(self.features(w, c), 1.0), y) for w, c, y in rows if len(w)]
+        data = [(np.append(w, np.array(BUCKETS, w.dtype)), np.append(self.features(w, c), 1.0), y) for w, c, y in rows if len(w)]
         order = np.random.default_rng(7).permutation(len(data))
         held = [data[k] for k in order[::5]] if len(data) >= 20 else data
         train = [data[k] for i, k in enumerate(order) if i % 5 or len(data) < 20]
@@ -170,8 +170,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         yield pa.RecordBatch.from_pydict({"k": pa.array(k.astype(np.int32)), "n": pa.array(df[k])})
 
     df = np.zeros(BUCKETS + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        df[r.k] = r.n
+    met = docs.select("text").mapInArrow(frequencies, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    df[met.column("k").to_numpy()] = met.column("n").to_numpy()
     sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.countDistinct(F.xxhash64("text", "lang")).alias("n")).collect()}
     model = Model(sorted(sizes), np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1)
     if not sizes:
@@ -195,14 +195,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 rows = [*counted(data, offsets), *counted(short, ends)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(langs + langs, pa.string()), "k": pa.array([w.astype(np.int32) for w, _ in rows], pa.list_(pa.int32())), "n": pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))})
 
-    table = sample.mapInArrow(features, "lang string, k array<int>, n array<int>").toArrow()
     number = {lang: i for i, lang in enumerate(model.languages)}
-    rows = []
-    for batch in table.to_batches():
-        lang, ks, ns = batch.column("lang").to_pylist(), batch.column("k"), batch.column("n")
-        rows += [(ks[i].values.to_numpy().astype(np.int64), ns[i].values.to_numpy().astype(np.int64), number[lang[i]]) for i in range(len(lang))]
-    rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))  # the same fit whatever the order of tasks
-    model.fit(rows)
+
+    def drawn() -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """The sample's rows as views of one Arrow table, in the same order whatever the order of tasks."""
+        rows = []
+        for batch in sample.mapInArrow(features, "lang string, k array<int>, n array<int>").toArrow().to_batches():
+            lang, ks, ns = batch.column("lang").to_pylist(), batch.column("k"), batch.column("n")
+            rows += [(ks[i].values.to_numpy(), ns[i].values.to_numpy(), number[lang[i]]) for i in range(len(lang))]
+        return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
+
+    model.fit(drawn())
+    pa.default_memory_pool().release_unused()
     return model
 
 
