@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wareflow.session import importable
 
-__all__ = ["components", "drop_path", "free_name", "ranges", "ready", "scratch", "scratch_path", "text_slices", "written"]
+__all__ = ["components", "drop_path", "free_name", "frequent_bound", "ranges", "ready", "scratch", "scratch_path", "text_slices", "written"]
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 4 << 20
@@ -84,6 +84,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def frequent_bound(counts: DataFrame, n: str, rows: int) -> int:
+    """The least power of two such that at most ``rows`` rows have an ``n`` of that size or more; 1 where all fit.
+
+    One aggregate by the binary length of ``n``: at most 64 rows come to the driver.
+    """
+    level = F.floor(F.log2(F.greatest(F.col(n), F.lit(1)).cast("double"))).cast("int")
+    held = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    total = 0
+    for k in sorted(held, reverse=True):
+        total += held[k]
+        if total > rows:
+            return 2 ** (k + 1)
+    return 1
+
+
 def text_slices(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a string column into steps of about ``limit`` bytes: (first row, bytes, row offsets).
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embeddings, langid, licenses, pii, simhash, suffixes, toxicity
+from . import alignment, bpe, chat, decontam, embeddings, langid, licenses, pii, resample, simhash, suffixes, suffixtree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_embedding_near_dedup, op4_chat_formatting, op5_license_scan, op6_suffix_array_dedup, op7_pii_surrogates, op8_toxicity, op9_simhash_near_dedup, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_embedding_near_dedup, op4_chat_formatting, op5_license_scan, op6_suffix_array_dedup, op7_pii_surrogates, op8_toxicity, op9_simhash_near_dedup, op10_decontamination, op11_tokenizer_alignment, op12_lm_scoring, op13_importance_resampling, pipeline)}
 
 
 _OP3 = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -103,6 +115,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, C
 FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)"""
 
 
+# CRC-32 of each distinct word, byte by byte over a table of 256 remainders.
+_OP13 = f"""WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), dw AS (SELECT r, unnest(w) AS x FROM d), bw AS (SELECT unnest({_WORDS}) AS x FROM benchmark),
+u AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+b AS (SELECT x, list_transform(range(0, length(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 2]) - 1) AS b FROM u),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM b, tab),
+s AS (SELECT k, count(*) AS n FROM dw JOIN k USING (x) GROUP BY 1), t AS (SELECT k, count(*) AS n FROM bw JOIN k USING (x) GROUP BY 1),
+g AS (SELECT k, CAST(floor(1000 * ln((COALESCE(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM dw) + 10000) / ((COALESCE(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS gain FROM (SELECT DISTINCT k FROM k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+wt AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN k USING (x) JOIN g USING (k) GROUP BY 1),
+sc AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, COALESCE(weight, 0) AS weight, COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN wt USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS p, count(*) OVER () * 10 // 100 AS m FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= m THEN p END AS rank FROM sc LEFT JOIN o USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against libraries, brute force or held-out accuracy."""
-    return {"op3_embedding_near_dedup": _OP3, "op4_chat_formatting": _op4(), "op10_decontamination": _OP10}
+    return {"op3_embedding_near_dedup": _OP3, "op4_chat_formatting": _op4(), "op10_decontamination": _OP10, "op13_importance_resampling": _OP13}
