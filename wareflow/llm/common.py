@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wareflow.session import importable
 
-__all__ = ["components", "drop_path", "free_name", "frequent_bound", "ranges", "ready", "scratch", "scratch_path", "text_slices", "written"]
+__all__ = ["components", "drop_path", "free_name", "frequent_bound", "ranges", "ready", "release_shuffles", "scratch", "scratch_path", "text_slices", "written"]
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 4 << 20
@@ -76,6 +76,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does once the driver has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it in any letter case."""
     taken = {c.lower() for c in df.columns}
