@@ -137,3 +137,61 @@ def test_spec_rules_by_category(spark):
     assert got["monitor"].m["resolution_label"] == "2K" and got["monitor"].m["screen_inches"] == "27.0"
     assert got["psu"].m["wattage_w"] == "750" and got["psu"].m["modular_type"] == "full_modular"
     assert got["chair"].m == {} and got["chair"].s.status == "missing"
+
+
+def test_hardware_readers(spark):
+    cases = [
+        (specs.socket, "Socket lga 1700", "LGA1700"),
+        (specs.socket, "AM4", "AM4"),
+        (specs.socket, "AM45 board", None),
+        (specs.sockets, "LGA1700, LGA 1200 / AM5, AM5 sTRX4 TR4", ["LGA1700", "LGA1200", "AM5", "TR4"]),
+        (specs.chipset, "ASUS PRIME B660M-A D4", "B660M"),
+        (specs.chipset, "Mainboard Z790 ATX", "Z790"),
+        (specs.chipset, "XB660 no", None),
+        (specs.chipset, "B6600", None),
+        (specs.ram_type, "8GB lpddr5 6400", "LPDDR5"),
+        (specs.ram_type, "GDDR6", None),
+        (specs.module_count, "2 x 8 GB kit", 2),
+        (specs.module_count, "16GB", None),
+        (specs.max_ghz, "2,5 GHz boost 4.9GHz", 4.9),
+        (specs.gpu_model, "MSI RTX4070 Super 12GB", "RTX4070 SUPER"),
+        (specs.gpu_model, "GTX 1650 4GB, RX 6600 XT", "GTX 1650"),
+        (specs.gpu_model, "Radeon rx 6600 XT", "RX 6600 XT"),
+        (specs.gpu_model, "Intel Arc A770 16GB", "ARC A770"),
+        (specs.gpu_model, "RTX Studio", None),
+        (specs.cpu_model, "Laptop Intel Core Ultra 7 155H 16GB", "Intel Core Ultra 7 155H"),
+        (specs.cpu_model, "Intel Core 5 120U", "Intel Core 5 120U"),
+        (specs.cpu_model, "CPU AMD Ryzen 5 5600X (6 nhân)", "AMD Ryzen 5 5600X"),
+        (specs.cpu_model, "ryzen 7 7800X3D", "ryzen 7 7800X3D"),
+        (specs.cpu_model, "Core i5", None),
+        (specs.vram_gb, "GDDR6X: 10GB", 10),
+        (specs.vram_gb, "VRAM 8 GB", 8),
+        (specs.vram_gb, "RTX 3060 Ti Gaming OC 8GB", 8),
+        (specs.vram_gb, "RTX 3060, RAM, 16GB", None),
+        (specs.vram_gb, "RAM 16GB", None),
+        (specs.vram_type, "12GB gddr6x", "GDDR6X"),
+        (specs.vram_type, "GDDR5 8GB", "GDDR5"),
+        (specs.wattage, "12345 W", None),
+        (specs.efficiency, "Nguồn 80 plus  Gold 750W", "80 plus Gold"),
+        (specs.efficiency, "80Plus", "80Plus"),
+        (specs.radiators, "Rad 360mm, 2400 mm, 120 mm", [120, 360]),
+        (specs.weight_kg, "1,35 kg", 1.35),
+        (specs.weight_kg, "Nặng 800 g", 0.8),
+        (lambda c: specs.resolution(c)["height"], "2560 x 1440 (QHD)", 1440),
+        (lambda c: specs.resolution(c)["label"], "1920×1080", "Full HD"),
+        (lambda c: specs.measure(c, "HZ"), "144Hz 27 inch", "144"),
+        (lambda c: specs.measure(c, "INCH", '"'), 'LG 27" IPS', "27"),
+        (specs.split_list, None, None),
+    ]
+    text_rows = [(k, c) for k, (_, c, _) in enumerate(cases)]
+    df = spark.createDataFrame(text_rows, "k int, c string")
+    for k, (f, c, want) in enumerate(cases):
+        assert df.where(F.col("k") == k).select(f(F.col("c"))).first()[0] == want, (k, c)
+
+
+def test_aliases_of_models(spark):
+    rows = [("Core i7 13700K", None), ("AMD Ryzen 7 5800X", "rx 6600"), ("i512400", "RTX Ti"), (None, "GTX1660 Ti")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, cpu string, gpu string")
+    n, s, d = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    got = [r.x for r in df.select("k", text.alias_tokens(F.col("cpu"), F.col("gpu"), n, s, n, s, d, n).alias("x")).orderBy("k").collect()]
+    assert got == [["i7-13700k", "i7 13700k", "i713700k"], ["ryzen 7 5800x", "r7 5800x", "rx 6600", "rx6600"], [], ["gtx 1660 ti", "gtx1660ti", "1660 ti"]]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -178,44 +178,97 @@ def words(c: Column) -> Column:
     return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-# Search forms of a product in their order. Numbers stand for groups of the model's pattern, names for values; of
-# forms parted by | the first complete one counts, and a form that lacks a part is left out.
-MODEL_FORMS = [
-    ("cpu", r"\bi([3579])-?\s*(\d{4,5}[a-z]*)\b", ["i{1}-{2}", "i{1} {2}", "i{1}{2}"]),
-    ("cpu", r"ryzen\s+([3579])\s+(\d{4,5}[a-z]*)", ["ryzen {1} {2}", "r{1} {2}"]),
-    ("gpu", r"\b(rtx|gtx|rx)\s*(\d{3,4})(?:\s*(ti))?\b", ["{1} {2} {3}|{1} {2}", "{1}{2}{3}|{1}{2}", "{2} {3}"]),
-]
-VALUE_FORMS = ["{ram}gb", "{ram} gb", "{kind}", "{ram}gb {kind}", "{disk}gb", "{disk} gb", "ssd{ssd}", "{tb}tb", "{size} inch", "{size}inch", "{rate}hz", "{rate} hz"]
+#: A word, a number (with one or two decimals) or a sign, each with the space before it.
+PIECE = r" ?(?:\p{L}+|(?<!\d)\d{1,3}[.,]\d{1,2}(?!\d)|\d+|[^\p{L}\d ])"
 
 
-def _form(template: str, parts: dict[str, Column]) -> Column:
-    """``template`` with its parts filled in; null where one of them is."""
+class Pieces:
+    """The words, numbers and signs of a text by place, upper-cased to compare and as they stand to quote."""
 
-    def one(t: str) -> Column:
-        pieces = re.split(r"\{(\w+)\}", t)  # literals and names take turns
-        return F.concat(*[parts[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces) if x])
+    def __init__(self, both: Column):
+        self.raw, self.key = both["raw"], both["key"]
 
-    return F.coalesce(*[one(t) for t in template.split("|")])
+    def at(self, place: Column) -> Column:
+        return F.get(self.key, place)
+
+    def glued(self, place: Column) -> Column:
+        """Whether nothing parts the piece from the one before."""
+        return ~F.get(self.raw, place).startswith(" ")
+
+    def digits(self, place: Column, least: int, most: int) -> Column:
+        return F.regexp_like(self.at(place), F.lit(r"^\d+$")) & F.length(self.at(place)).between(least, most)
+
+    def number(self, place: Column) -> Column:
+        return F.translate(self.at(place), ",", ".").try_cast("double")
+
+    def all(self, test: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+        """``value`` of every place that passes ``test``, in order."""
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(self.key)), test), value)
+
+    def first(self, test: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+        return F.get(self.all(test, value), F.lit(0))
+
+    def run(self, place: Column) -> Column:
+        """Where the piece at ``place`` and the words, numbers and dashes glued to it end."""
+        on = lambda k: self.glued(k) & (F.regexp_like(self.at(k), F.lit(r"^[\p{L}\d]+$")) | (self.at(k) == "-"))
+        return self.first(lambda k: (k > place) & ~F.coalesce(on(k), F.lit(False)), lambda k: k)
+
+    def quote(self, start: Column, end: Column) -> Column:
+        return F.trim(F.array_join(F.slice(self.raw, start + 1, end - start), ""))
+
+
+def by_pieces(c: Column, body: Callable[[Pieces], Column]) -> Column:
+    """``body`` over the pieces of ``c``, which are made once; null for null."""
+    raw = F.regexp_extract_all(clean(c), F.lit(PIECE), F.lit(0))
+    keyed = F.transform(F.array(raw), lambda r: F.struct(r.alias("raw"), F.transform(r, lambda x: F.upper(F.trim(x))).alias("key")))
+    return F.when(c.isNotNull(), F.get(F.transform(keyed, lambda v: body(Pieces(v))), F.lit(0)))
+
+
+def _intel(p: Pieces) -> Column:
+    """Tier, number and letters of a processor written i5-12400F or i5 12400F."""
+    number = lambda i: F.when(p.at(i + 2) == "-", i + 3).otherwise(i + 2)
+    test = lambda i: (p.at(i) == "I") & p.at(i + 1).isin("3", "5", "7", "9") & p.glued(i + 1) & p.digits(number(i), 4, 5)
+    return p.first(test, lambda i: F.struct(p.at(i + 1).alias("tier"), _coded(p, number(i)).alias("number")))
+
+
+def _ryzen(p: Pieces) -> Column:
+    test = lambda i: (p.at(i) == "RYZEN") & p.at(i + 1).isin("3", "5", "7", "9") & p.digits(i + 2, 4, 5)
+    return p.first(test, lambda i: F.struct(p.at(i + 1).alias("tier"), _coded(p, i + 2).alias("number")))
+
+
+def _coded(p: Pieces, place: Column) -> Column:
+    """A number and the letters glued to it, in small letters."""
+    letters = F.when(p.glued(place + 1) & F.regexp_like(p.at(place + 1), F.lit(r"^\p{L}+$")), p.at(place + 1))
+    return F.lower(F.concat(p.at(place), F.coalesce(letters, F.lit(""))))
+
+
+def _card(p: Pieces) -> Column:
+    test = lambda i: p.at(i).isin("RTX", "GTX", "RX") & p.digits(i + 1, 3, 4)
+    return p.first(test, lambda i: F.struct(F.lower(p.at(i)).alias("line"), p.at(i + 1).alias("number"), F.when(p.at(i + 2) == "TI", "ti").alias("ti")))
 
 
 def alias_tokens(cpu: Column, gpu: Column, ram_gb: Column, ram_type: Column, storage_gb: Column, storage_type: Column, inches: Column, hz: Column, *texts: Column) -> Column:
-    """Ordered distinct search forms of a product: model names spaced and compact, sizes with units, unaccented ``texts``."""
+    """Ordered distinct search forms of a product: model names spaced and compact, sizes with units, unaccented ``texts``.
+
+    A form that lacks a part is null and left out.
+    """
     number = lambda c: F.nullif(c, F.lit(0))
-    ram, disk = number(ram_gb), number(storage_gb)
-    values = {
-        "ram": ram.cast("string"),
-        "kind": F.when(ram.isNotNull(), F.nullif(F.lower(ram_type), F.lit(""))),
-        "disk": disk.cast("string"),
-        "ssd": F.when(F.lower(storage_type).contains("ssd"), disk.cast("string")),
-        "tb": F.when((disk >= 1024) & (disk % 1024 == 0), (disk / 1024).cast("int").cast("string")),
-        "size": F.when(inches != 0, F.regexp_replace(inches.cast("string"), r"\.?0*$", "")),
-        "rate": number(hz).cast("string"),
-    }
-    source, forms = {"cpu": F.lower(cpu), "gpu": F.lower(gpu)}, []
-    for of, pattern, templates in MODEL_FORMS:
-        groups = {str(k): F.nullif(F.regexp_extract(source[of], pattern, k), F.lit("")) for k in range(1, re.compile(pattern).groups + 1)}
-        forms += [_form(t, groups) for t in templates]
-    forms += [_form(t, values) for t in VALUE_FORMS]
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    intel, ryzen, card = by_pieces(cpu, _intel), by_pieces(cpu, _ryzen), by_pieces(gpu, _card)
+    ram, disk, rate = (number(c) for c in (ram_gb, storage_gb, hz))
+    kind = F.when(ram.isNotNull(), F.nullif(F.lower(ram_type), F.lit("")))
+    size = F.when(inches != 0, F.regexp_replace(inches.cast("string"), r"\.?0*$", ""))
+    forms = [join("i", intel["tier"], sign, intel["number"]) for sign in ("-", " ", "")]
+    forms += [join(line, ryzen["tier"], " ", ryzen["number"]) for line in ("ryzen ", "r")]
+    forms += [F.when(card["line"].isNotNull(), F.concat_ws(sign, card["line"], card["number"], card["ti"])) for sign in (" ", "")]
+    forms += [join(card["number"], " ", card["ti"])]
+    for value in (ram, disk):
+        forms += [join(value.cast("string"), "gb"), join(value.cast("string"), " gb")]
+        if value is ram:
+            forms += [kind, join(ram.cast("string"), "gb ", kind)]
+    forms += [F.when(F.lower(storage_type).contains("ssd"), join("ssd", disk.cast("string")))]
+    forms += [F.when((disk >= 1024) & (disk % 1024 == 0), join((disk / 1024).cast("int").cast("string"), "tb"))]
+    forms += [join(size, " inch"), join(size, "inch"), join(rate.cast("string"), "hz"), join(rate.cast("string"), " hz")]
     forms += [F.when(fold(t) != F.lower(t), fold(t)) for t in texts]
     return F.array_distinct(F.array_compact(F.array(*forms)))
 
