@@ -99,29 +99,28 @@ class Tree:
     """The suffix tree in dictionaries; contexts are tuples of words, None before the first word."""
 
     def __init__(self, texts, depth, least, discount, cost):
-        self.depth, self.d = depth, discount
+        self.depth, self.d, self.least = depth, discount, least
         self.count = [defaultdict(Counter) for _ in range(depth + 1)]
         for text in texts:
             for context, word in self.places(text):
                 for k in range(depth + 1):
                     self.count[k][context[depth - k :]][word] += 1
         root = self.count[0][()]
-        self.n, self.v, self.root, self.states = sum(root.values()), len(root), root, set()
+        self.n, self.v, self.root, self.states = sum(root.values()), len(root), root, {}
         for k in range(1, depth + 1):
-            new = set()
+            new = {}
             for context, after in self.count[k].items():
-                if k > 1 and context[1] is None:  # two places before a text are one context
+                size, counted = sum(after.values()), {w: c for w, c in after.items() if c >= least}
+                if size < least or k > 1 and context[1] is None:  # two places before a text are one context
                     continue
-                size, types = sum(after.values()), len(after)
-                if size < max(least, 2):
-                    continue
-                gain = 0.0
-                for word, c in after.items():
+                rest, other, gain = size - sum(c - discount for c in counted.values()), size - sum(counted.values()), 0.0
+                for word, c in counted.items():
                     q = self.p(context[1:], word)
-                    left = (c - 1 - discount + discount * types * q) if c > 1 else discount * (types - 1) * q
+                    left = c - 1 - discount + rest * q if c > least else (rest + least - 1 - discount) * q
                     gain += c * math.log(left / (size - 1) / q)
-                if gain >= cost:
-                    new.add(context)
+                gain += other * math.log((rest - 1) / (size - 1)) if other else 0.0
+                if counted and gain >= cost:
+                    new[context] = (size, rest)
             self.states |= new
 
     def words(self, text):
@@ -137,20 +136,20 @@ class Tree:
             context = context[1:]
         if not context:
             return (self.root[word] + 1) / (self.n + self.v + 1)
-        after = self.count[len(context)][context]
-        return (max(after[word] - self.d, 0) + self.d * len(after) * self.p(context[1:], word)) / sum(after.values())
+        (size, rest), c = self.states[context], self.count[len(context)][context][word]
+        return ((c - self.d if c >= self.least else 0) + rest * self.p(context[1:], word)) / size
 
 
 @pytest.mark.parametrize(("depth", "least", "sent"), [(2, 3, 1 << 20), (3, 2, 200), (1, 2, 0)])
 def test_suffix_tree_equals_dictionaries(spark, docs, depth, least, sent):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1000 + k, "The cat sat on the mat again\nand the CAT sat on the mat") for k in range(12)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", ~suffixtree.held_out(F.col("doc_id")))
-    learned = [r.text for r in df.where("train").collect()]
-    tree = Tree(learned, depth, least, suffixtree.DISCOUNT, 1.0)
-    model = suffixtree.fit(df, depth, least, min_gain=1.0)
-    assert (model.train_tokens, model.train_types) == (tree.n, tree.v) and sum(map(len, model.states)) == len(tree.states) > 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where(~suffixtree.held_out(F.col("doc_id")))
+    tree = Tree([r.text for r in train.collect()], depth, least, suffixtree.DISCOUNT, 1.0)
+    model = suffixtree.fit(train, depth, least, min_gain=1.0)
+    assert (model.train_tokens, model.train_types) == (tree.n, tree.v) and sum(len(x.states) for x in model.levels) == len(tree.states) > 3
     by_id = defaultdict(list)
-    for r in suffixtree.score(df, model, sent_grams=sent).collect():
+    for r in suffixtree.score(df, model, sent_words=sent).collect():
         by_id[r.doc_id].append(r.lm)
     for doc, text in rows:
         words = [*tree.words(text), "\n"]
@@ -162,12 +161,18 @@ def test_suffix_tree_equals_dictionaries(spark, docs, depth, least, sent):
 
 
 def test_state_distributions_add_up(spark):
-    df = spark.createDataFrame([("a b a b a c b a b d",)] * 5, "text string").withColumn("train", F.lit(True))
-    tree = Tree(["a b a b a c b a b d"] * 5, 2, 2, 0.75, 1.0)
+    texts = ["a b a b a c b a b d"] * 5
+    tree = Tree(texts, 2, 2, 0.75, 1.0)
+    assert tree.states
     for context in [(), *tree.states]:
         assert math.isclose(sum(tree.p(context, w) for w in tree.root) + tree.p(context, "unseen"), 1.0)
-    model = suffixtree.fit(df, 2, 2, min_gain=1.0)
-    assert sum(map(len, model.states)) == len(tree.states)
+    model = suffixtree.fit(spark.createDataFrame([(t,) for t in texts], "text string"), 2, 2, min_gain=1.0)
+    assert sum(len(x.states) for x in model.levels) == len(tree.states)
+
+
+def test_least_probability_bounds_a_level(spark, docs):
+    model = suffixtree.fit(docs, 2, 2, max_grams=50, min_gain=0.0)
+    assert all(len(x.states) <= 50 and len(x.grams) <= 50 for x in model.levels)
 
 
 def test_keys_equal_sparks_hash(spark):
@@ -181,7 +186,7 @@ def test_scoring_of_nothing(spark):
     rows = suffixtree.report(df).collect()
     assert all(r.n_tokens == 1 for r in rows) and suffixtree.report(df.where("false")).count() == 0
     with pytest.raises(ValueError):
-        suffixtree.score(df.withColumn("LM", F.lit(1)), suffixtree.fit(df.withColumn("train", F.lit(True))))
+        suffixtree.score(df.withColumn("LM", F.lit(1)), suffixtree.fit(df))
 
 
 def test_held_out_scores_beat_the_base(spark):
