@@ -152,9 +152,10 @@ def draw(scored: DataFrame, eligible: Column, score: str = "score", key: str = "
     if out.lower() in {c.lower() for c in scored.columns}:
         raise ValueError(f"column {out} exists")
     late, part, tie = (free_name(scored, n) for n in ("late", "part", "tie"))
-    rows = scored.withColumn(late, ~F.coalesce(eligible, F.lit(False))).withColumn(tie, F.monotonically_increasing_id())
+    # Ranges come from a sample of the rows, which aren't to be made twice for it.
+    rows = written(scored).withColumn(late, ~F.coalesce(eligible, F.lit(False))).withColumn(tie, F.monotonically_increasing_id())
     order = [F.col(late).asc(), F.col(score).desc_nulls_last(), F.col(key).asc_nulls_last(), F.col(tie).asc()]
-    # Written first: ranges come from a sample, and the parts have to stay what was counted.
+    # The parts have to stay what was counted.
     dealt = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
     sizes = {r[part]: (r["n"], r["ok"]) for r in dealt.groupBy(part).agg(F.count("*").alias("n"), F.count_if(~F.col(late)).alias("ok")).collect()}
     best, before, ahead = sum(ok for _, ok in sizes.values()) * percent // 100, {}, 0
