@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ STEP_BYTES = 2 << 20
 #: Most pairs of ids whose counts are sent to all tasks, 20 bytes each; the others' counts come by a join.
 SENT_PAIRS = 1 << 20
 #: A ids of the rows whose links one numpy step holds.
-STEP_TOKENS = 1 << 19
+STEP_TOKENS = 1 << 17
 #: Pairs that a task collects before it adds them up.
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 20
 #: Chunks of text whose pieces a task remembers before it starts anew.
 REMEMBERED = 1 << 18
 #: Links of a group that are written out one by one; in a larger group equal ids are put together first.
@@ -53,7 +54,21 @@ class Pieces:
         self.token_bytes = np.frombuffer(b"".join(text), np.uint8)
         self.token_len = np.array([len(x) for x in text], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
-        self.known: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunks met so far by number, and the ids of all of them one after the other."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        # The model puts the first space itself.
+        made = self.model.encode([c[1:] for c in chunks], num_threads=1)
+        count = np.fromiter(map(len, made), np.int64, len(made))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(count.sum()))])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that start with a space each, and each text's number of ids; the bytes have to be UTF-8."""
@@ -66,18 +81,15 @@ class Pieces:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         which = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         distinct = chunks.dictionary.to_pylist()
-        known = self.known
-        new = [c for c in distinct if c not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+        new = [c for c in distinct if c not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.forget()
             new = distinct
-        # The model puts the first space itself.
-        for c, ids in zip(new, self.model.encode([c[1:].decode() for c in new], num_threads=1), strict=True):
-            known[c] = np.array(ids, np.int32)
-        ids = [known[c] for c in distinct]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, size = np.cumsum(count) - count, count[which]
-        flat = np.concatenate(ids).astype(np.int64)[ranges(first[which], size)] if len(ids) else np.zeros(0, np.int64)
+        if new:
+            self.learn(new)
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[which]
+        size = self.count[which]
+        flat = self.ids[ranges(self.first[which], size)].astype(np.int64)
         row = np.searchsorted(offsets, starts, "right") - 1
         return flat, np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
 
@@ -242,13 +254,17 @@ class _Batch:
         self.group_row = _rows(self.n_groups)
         group, a, b, times = links(self.a, self.b, self.a_group, self.b_group, len(self.group_row))
         # Links of the same row and ids together.
-        order = np.lexsort((b, a, row := self.group_row[group]))
-        row, a, b, times = row[order], a[order], b[order], times[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        self.row, self.key = row[first], a[first] << 32 | b[first]
-        self.times = np.add.reduceat(times, first) if len(first) else times
+        size = int(max(self.a.max(), self.b.max())) + 1 if len(self.a) else 1
+        key = (self.group_row[group] * size + a) * size + b
+        if len(times) and times.max() > 1:
+            order = np.argsort(key)
+            key, times = key[order], times[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, self.times = key[first], np.add.reduceat(times, first)
+        else:
+            key, self.times = np.unique(key, return_counts=True)
+        self.row, pair = np.divmod(key, size * size)
+        self.key = (pair // size) << 32 | pair % size
 
     def total(self, weight: np.ndarray) -> np.ndarray:
         """Per row the sum of whole numbers given per pair."""
