@@ -197,16 +197,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     number = {lang: i for i, lang in enumerate(model.languages)}
 
-    def drawn() -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """The sample's rows as views of one Arrow table, in the same order whatever the order of tasks."""
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fit on all rows of the sample, in the same order whatever the order of tasks."""
         rows = []
-        for batch in sample.mapInArrow(features, "lang string, k array<int>, n array<int>").toArrow().to_batches():
+        for batch in batches:
             lang, ks, ns = batch.column("lang").to_pylist(), batch.column("k"), batch.column("n")
             rows += [(ks[i].values.to_numpy(), ns[i].values.to_numpy(), number[lang[i]]) for i in range(len(lang))]
-        return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
-
-    model.fit(drawn())
-    pa.default_memory_pool().release_unused()
+        own = Model(model.languages, model.idf)
+        own.fit(sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())))
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([own.weights.tobytes()], pa.binary()), "temperature": pa.array([own.temperature])})
+
+    # The sample is bounded, so one task holds it; the driver gets the weights alone.
+    rows = sample.mapInArrow(features, "lang string, k array<int>, n array<int>").repartition(1)
+    made = rows.mapInArrow(fitted, "weights binary, temperature double").first()
+    model.weights = np.frombuffer(made.weights, np.float64).reshape(model.weights.shape)
+    model.temperature = made.temperature
     return model
 
 
