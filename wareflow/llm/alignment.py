@@ -23,15 +23,15 @@ from . import bpe
 from .common import frequent_bound, ranges, ready, text_slices, written
 
 #: Bytes of text in one numpy step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 #: Most pairs of ids whose counts are sent to all tasks, 20 bytes each; the others' counts come by a join.
 SENT_PAIRS = 1 << 20
 #: A ids of the rows whose links one numpy step holds.
-STEP_TOKENS = 1 << 17
+STEP_TOKENS = 1 << 16
 #: Pairs that a task collects before it adds them up.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 19
 #: Chunks of text whose pieces a task remembers before it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Links of a group that are written out one by one; in a larger group equal ids are put together first.
 WIDE = 4096
 SPACE_MARK = "▁"
