@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from wareflow.plans import catalog, quality, records, registry, retrieval  # noqa: F401
+from wareflow.plans import catalog, products, quality, records, registry, retrieval  # noqa: F401
 from wareflow.plans.tables import BASE
 
 DIR = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(tuple(plain(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["substitute_edges", "compatibility_edges", "graph_neighbours", "bundle_issues", "bundle_picks", "typo_matches", "related_products"])
+@pytest.mark.parametrize("name", ["substitute_edges", "compatibility_edges", "graph_neighbours", "bundle_issues", "bundle_picks", "typo_matches", "related_products", "ranked_search", "bm25_products", "all_terms_products"])
 def test_plans_have_no_cartesian(spark, name):
     plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wareflow.operators import documents
 from wareflow.operators.logs import budget_flags
+from wareflow.operators.store import Store
 
 CHANGE_SCHEMA = "product_id string, captured_at timestamp, price_vnd long, price_hash string"
 
@@ -65,6 +67,16 @@ def first_seen(urls: DataFrame, known: DataFrame, within: str = "1 day") -> Data
     return fresh.join(known, "source_url", "left_anti")
 
 
+def drain_documents(events: DataFrame, store: Store, products: DataFrame, specs: DataFrame, latest: DataFrame, checkpoint: str, **trigger):
+    """Apply change events (id, product_id, event_type, created_at) to the stored search documents, batch by batch.
+
+    Each batch is one publication under its id, so a batch that comes again after a crash, before or after it was published, leaves the
+    same documents. Products, specifications and prices are read anew for each batch.
+    """
+    name = f"{checkpoint}#"
+    return drain(events, lambda batch, k: documents.apply_batch(store, batch, products, specs, latest, f"{name}{k}"), checkpoint, **trigger)
+
+
 def drain(events: DataFrame, apply, checkpoint: str, **trigger):
     """Feed each micro-batch of change events to ``apply(batch, batch_id)``; offsets replace the claim of rows.
 
