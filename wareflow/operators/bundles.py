@@ -44,8 +44,8 @@ def allocate(requests: DataFrame) -> DataFrame:
 def candidate_table(products: DataFrame) -> DataFrame:
     """(category, variant, rank, ...): the cheapest 20 of each role and vendor preference, before any budget.
 
-    Small by its definition (roles times preferences times 20), so requests can join it broadcast. RAM floors are a
-    variant of their own in ``picks``.
+    Small by its definition (roles times preferences times 20), so requests can join it broadcast. ``floor_candidates`` has more
+    variants, for the least memory that a request wants.
     """
     variants = {"cpu": ["any", "intel", "amd"], "gpu": ["any", "nvidia", "amd"]}
     tagged = F.explode(F.array_compact(F.array(*[F.when(F.expr(sql) & preference(role, v), F.struct(F.lit(role).alias("category"), F.lit(v).alias("variant"))) for role, sql in ROLES.items() for v in variants.get(role, ["any"])])))
@@ -54,6 +54,63 @@ def candidate_table(products: DataFrame) -> DataFrame:
     return rows.withColumn("price_rank", rank).where(F.col("price_rank") <= CANDIDATES)
 
 
+def memory_floors(products: DataFrame) -> DataFrame:
+    """(low, high, variant): a request for more than ``low`` and at most ``high`` GB is one for modules of ``high`` GB or more.
+
+    One row for each size on sale; the sizes are what their number is bounded by.
+    """
+    sizes = products.where(F.expr(ROLES["ram"]) & (F.col("price_vnd") > 0) & (F.col("ram_gb") > 0)).select(F.col("ram_gb").alias("high")).distinct()
+    low = F.coalesce(F.lag("high").over(Window.orderBy("high")), F.lit(0))
+    return sizes.select(low.alias("low"), "high", F.concat(F.lit("ram>="), F.col("high").cast("string")).alias("variant"))
+
+
+def floor_candidates(products: DataFrame, floors: DataFrame) -> DataFrame:
+    """Rows like those of ``candidate_table``: the cheapest 20 memory modules at or above each floor.
+
+    A module among the cheapest 20 of a floor is among the cheapest 20 of its own size, so only those meet the floors below them:
+    at most 20 times the square of the number of sizes.
+    """
+    rows = products.where(F.expr(ROLES["ram"]) & (F.col("price_vnd") > 0) & (F.col("ram_gb") > 0)).drop("category")
+    own = F.row_number().over(Window.partitionBy("ram_gb").orderBy("price_vnd", "id"))
+    cheap = rows.withColumn("_own", own).where(F.col("_own") <= CANDIDATES).drop("_own")
+    met = cheap.join(F.broadcast(floors.select("high", "variant")), F.col("ram_gb") >= F.col("high")).drop("high")
+    rank = F.row_number().over(Window.partitionBy("variant").orderBy("price_vnd", "id"))
+    kept = met.withColumn("price_rank", rank).where(F.col("price_rank") <= CANDIDATES)
+    return kept.select(F.lit("ram").alias("category"), "variant", *[c for c in kept.columns if c not in ("category", "variant")])
+
+
+def with_floors(requests: DataFrame, floors: DataFrame) -> DataFrame:
+    """``requests`` (with ram_min_gb) with ``ram_variant``: any, a floor, or none where no module is large enough."""
+    least = F.coalesce("ram_min_gb", F.lit(0))
+    met = requests.join(F.broadcast(floors), (least > F.col("low")) & (least <= F.col("high")), "left")
+    return met.withColumn("ram_variant", F.when(least <= 0, "any").otherwise(F.coalesce("variant", F.lit("none")))).drop("low", "high", "variant")
+
+
+def build(requests: DataFrame, candidates: DataFrame, pinned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(choices, warnings): what each request gets in each category, and what it is told.
+
+    choices: (request_id, category, id, price_vnd, kind), kind pinned, fits or cheapest. ``pinned`` (request_id, category, id, price_vnd) wins
+    over everything, the first by id if there are several. warnings: (request_id, category, warning), where the cheapest was taken
+    for want of one within the share, or nothing was found.
+    """
+    held = pinned.groupBy("request_id", "category").agg(F.min(F.struct("id", "price_vnd")).alias("p")).select("request_id", "category", "p.id", "p.price_vnd", F.lit("pinned").alias("kind"))
+    own = picks(requests, candidates).join(held, ["request_id", "category"], "left_anti")
+    own = own.select("request_id", "category", "id", "price_vnd", F.when(F.col("fallback"), "cheapest").otherwise("fits").alias("kind"))
+    choices = held.join(requests.select("request_id"), "request_id", "left_semi").select(*own.columns).unionByName(own)
+    every = allocate(requests).select("request_id", "category")
+    missing = every.join(choices, ["request_id", "category"], "left_anti").withColumn("warning", F.concat("category", F.lit(": không tìm thấy sản phẩm")))
+    over = own.where("kind = 'cheapest'").select("request_id", "category", F.concat("category", F.lit(": vượt budget, chọn rẻ nhất ("), F.format_number("price_vnd", 0), F.lit(" VND)")).alias("warning"))
+    return choices, missing.unionByName(over)
+
+
+def summaries(choices: DataFrame, warnings: DataFrame, first: int = 3) -> DataFrame:
+    """(request_id, n_items, total_vnd, n_warnings, first_warnings): the total and the first warnings in order of category."""
+    total = choices.groupBy("request_id").agg(F.count("*").alias("n_items"), F.sum(F.coalesce("price_vnd", F.lit(0))).alias("total_vnd"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("category", "warning"))), lambda x: x["warning"])
+    told = warnings.groupBy("request_id").agg(F.count("*").alias("n_warnings"), F.slice(listed, 1, first).alias("first_warnings"))
+    return total.join(told, "request_id", "full_outer").na.fill(0, ["n_items", "total_vnd", "n_warnings"]).withColumn("first_warnings", F.coalesce("first_warnings", F.array().cast("array<string>")))
+
+
 def score(use_case: Column) -> Column:
     """0.6 fit for the use case, 0.3 value for money, 0.1 availability."""
     fit = (
@@ -72,10 +129,10 @@ def picks(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """(request_id, category, id, price_vnd, score, fallback): the best candidate within each category's budget.
 
     Where none fits, the cheapest within the whole budget with fallback true; where none does at all, no row. ``requests``:
-    request_id, use_case, priority, budget_vnd and optionally cpu_preference, gpu_preference.
+    request_id, use_case, priority, budget_vnd and optionally cpu_preference, gpu_preference, ram_variant (of ``with_floors``).
     """
     pref = lambda c: F.coalesce(F.col(c), F.lit("any")) if c in requests.columns else F.lit("any")
-    asked = allocate(requests).withColumn("variant", F.when(F.col("category") == "cpu", pref("cpu_preference")).when(F.col("category") == "gpu", pref("gpu_preference")).otherwise("any"))
+    asked = allocate(requests).withColumn("variant", F.when(F.col("category") == "cpu", pref("cpu_preference")).when(F.col("category") == "gpu", pref("gpu_preference")).when(F.col("category") == "ram", pref("ram_variant")).otherwise("any"))
     pairs = asked.join(F.broadcast(candidates), ["category", "variant"]).where("price_vnd <= budget_vnd")
     fits = F.col("price_vnd") <= F.col("category_budget")
     scored = pairs.withColumn("score", F.round(score(F.col("use_case")), 6)).withColumn("fits", fits)

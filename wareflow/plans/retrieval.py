@@ -84,14 +84,17 @@ def parts(t: Tables, role: str):
     return rows.where(F.expr(filters.ROLES[role]))
 
 
+def classes(t: Tables):
+    return graph.key_classes(parts(t, "cpu"), parts(t, "mobo"), "socket", "socket").unionByName(graph.key_classes(parts(t, "ram"), parts(t, "mobo"), "ram_type", "ram_type"))
+
+
 def socket_edges(t: Tables):
     return graph.equal_key_edges(parts(t, "cpu"), parts(t, "mobo"), "socket", "socket")
 
 
 @query(f"WITH {_EDGES} SELECT rule, relation, count(*) AS n, count(DISTINCT src) AS sources FROM edges GROUP BY 1, 2 UNION ALL SELECT 'ram_type', 'compatible_with', 2 * count(*), count(DISTINCT a.id) + count(DISTINCT b.id) FROM (SELECT id, ram_type FROM products JOIN specs ON id = product_id WHERE ram_gb IS NOT NULL AND psu_wattage_w IS NULL AND cpu_cores IS NULL) a JOIN m b ON a.ram_type = b.ram_type", _P)
 def compatibility_edges(t: Tables):
-    both = socket_edges(t).unionByName(graph.equal_key_edges(parts(t, "ram"), parts(t, "mobo"), "ram_type", "ram_type"))
-    return both.groupBy("rule", "relation").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+    return graph.class_statistics(classes(t))
 
 
 @query("SELECT src, count(*) AS n FROM (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND a.s_acctbal > 0 AND b.s_acctbal > 0 AND abs(a.s_acctbal - b.s_acctbal) <= 0.2 * greatest(a.s_acctbal, b.s_acctbal)) p, (VALUES (0), (1)) k(s), LATERAL (SELECT CASE WHEN s = 0 THEN x ELSE y END AS src) GROUP BY 1")
@@ -110,6 +113,12 @@ def graph_neighbours(t: Tables):
     return graph.neighbours(socket_edges(t), seeds, 2)
 
 
+@query(f"WITH {_EDGES}, r AS (SELECT id, ram_type FROM products JOIN specs ON id = product_id WHERE ram_gb IS NOT NULL AND psu_wattage_w IS NULL AND cpu_cores IS NULL), x AS (SELECT src, dst, rule FROM edges UNION ALL SELECT r.id, m.id, 'ram_type' FROM r JOIN m ON r.ram_type = m.ram_type AND r.ram_type <> '' AND r.id <> m.id UNION ALL SELECT m.id, r.id, 'ram_type' FROM r JOIN m ON r.ram_type = m.ram_type AND r.ram_type <> '' AND r.id <> m.id), s AS (SELECT id AS seed FROM products WHERE p_partkey % 20 = 0), g AS (SELECT seed, dst, min(rule) AS rule FROM s JOIN x ON src = seed WHERE seed <> dst GROUP BY 1, 2) SELECT seed, dst, rule FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY dst) AS n FROM g) WHERE n <= 200", _P)
+def compatible_items(t: Tables):
+    """The first 200 compatible items of every product whose key is divisible by 20, through classes."""
+    return graph.class_neighbours(classes(t), t.products.where("p_partkey % 20 = 0").select("id"))
+
+
 @query(f"WITH {_EDGES} SELECT relation, count(*) AS n_edges, count(*) FILTER (WHERE src = dst) AS self_loops, round(100.0 * count(DISTINCT src) / (SELECT count(*) FROM products), 1) AS coverage_pct FROM edges GROUP BY 1", _P)
 def graph_statistics(t: Tables):
     return graph.statistics(socket_edges(t), t.products.select("id"))
@@ -205,6 +214,44 @@ def bundle_alternatives(t: Tables):
     return bundles.alternatives(bundles.picks(t.requests, cand), bundles.ranked(t.requests, cand))
 
 
+_FLOORED = f"""{_shares()}, {_J}, {_CAND}, rq AS (SELECT *, CASE request_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 12 WHEN 2 THEN 40 WHEN 3 THEN 90 WHEN 4 THEN 2000 END AS ram_min_gb FROM requests),
+fl AS (SELECT DISTINCT ram_min_gb FROM rq WHERE ram_min_gb > 0), fc AS (SELECT 'ram' AS category, 'ram>=' || ram_min_gb AS variant, * EXCLUDE (n) FROM (SELECT fl.ram_min_gb, j.*, row_number() OVER (PARTITION BY fl.ram_min_gb ORDER BY price_vnd, id) AS n FROM fl, j WHERE ram_gb IS NOT NULL AND psu_wattage_w IS NULL AND cpu_cores IS NULL AND price_vnd > 0 AND ram_gb >= fl.ram_min_gb) WHERE n <= 20),
+c2 AS (SELECT category, variant, id, price_vnd, stock_status, gpu_vram_gb, cpu_cores, ram_gb FROM cand UNION ALL SELECT category, variant, id, price_vnd, stock_status, gpu_vram_gb, cpu_cores, ram_gb FROM fc),
+a AS (SELECT alloc.*, CASE category WHEN 'cpu' THEN alloc.cpu_preference WHEN 'gpu' THEN alloc.gpu_preference WHEN 'ram' THEN CASE WHEN ram_min_gb > 0 THEN 'ram>=' || ram_min_gb ELSE 'any' END ELSE 'any' END AS variant FROM alloc JOIN rq USING (request_id)),
+x AS (SELECT request_id, category, id, price_vnd, CAST({_SCORE} AS DOUBLE) AS score, price_vnd <= category_budget AS fits FROM a JOIN c2 USING (category, variant) WHERE price_vnd <= budget_vnd),
+pin AS (SELECT request_id, 'gpu' AS category, p.id, p.price_vnd FROM requests JOIN products p ON p_partkey = request_id JOIN specs s ON s.product_id = p.id WHERE gpu_model IS NOT NULL AND request_id % 2 = 0),
+ch AS (SELECT *, 'pinned' AS kind FROM pin UNION ALL SELECT request_id, category, id, price_vnd, CASE WHEN fits THEN 'fits' ELSE 'cheapest' END FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY fits DESC, CASE WHEN fits THEN -score END, price_vnd, id) AS n FROM x) WHERE n = 1 AND (request_id, category) NOT IN (SELECT request_id, category FROM pin)),
+wn AS (SELECT request_id, category, category || ': không tìm thấy sản phẩm' AS warning FROM alloc WHERE (request_id, category) NOT IN (SELECT request_id, category FROM ch) UNION ALL SELECT request_id, category, category || ': vượt budget, chọn rẻ nhất (' || printf('%,d', price_vnd) || ' VND)' FROM ch WHERE kind = 'cheapest')"""
+
+
+def floored(t: Tables):
+    """(choices, warnings) of requests with memory floors and some pinned cards."""
+    rows = t.products.where(filters.active("shop")).drop("p_size").join(t.specs.drop("p_size"), F.col("id") == F.col("product_id"))
+    floors = bundles.memory_floors(rows)
+    least = F.element_at(F.array(F.lit(0), F.lit(12), F.lit(40), F.lit(90), F.lit(2000), F.lit(None).cast("int")), (F.col("request_id") % 6 + 1).cast("int"))
+    asked = bundles.with_floors(t.requests.withColumn("ram_min_gb", least), floors)
+    cards = parts(t, "gpu").select(F.col("p_partkey").alias("request_id"), F.lit("gpu").alias("category"), "id", "price_vnd")
+    pinned = cards.join(t.requests.where("request_id % 2 = 0").select("request_id"), "request_id", "left_semi")
+    return bundles.build(asked, bundles.candidate_table(rows).unionByName(bundles.floor_candidates(rows, floors)), pinned)
+
+
+@query(f"WITH {_FLOORED} SELECT request_id, category, id, price_vnd, kind FROM ch", "requests products specs")
+def bundle_choices(t: Tables):
+    """What each request gets, with the least memory it wants and what it has pinned."""
+    return floored(t)[0]
+
+
+@query(f"WITH {_FLOORED} SELECT request_id, category, warning FROM wn", "requests products specs")
+def bundle_warnings(t: Tables):
+    return floored(t)[1]
+
+
+@query(f"WITH {_FLOORED}, t AS (SELECT request_id, count(*) AS n_items, CAST(sum(price_vnd) AS BIGINT) AS total_vnd FROM ch GROUP BY 1), w AS (SELECT request_id, count(*) AS n_warnings, array_to_string(list(warning ORDER BY category, warning)[1:3], '; ') AS first_warnings FROM wn GROUP BY 1) SELECT request_id, COALESCE(n_items, 0) AS n_items, COALESCE(total_vnd, 0) AS total_vnd, COALESCE(n_warnings, 0) AS n_warnings, COALESCE(first_warnings, '') AS first_warnings FROM t FULL JOIN w USING (request_id)", "requests products specs")
+def bundle_summaries(t: Tables):
+    out = bundles.summaries(*floored(t))
+    return out.withColumn("first_warnings", F.array_join("first_warnings", "; "))
+
+
 def every_twentieth(t: Tables):
     return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
