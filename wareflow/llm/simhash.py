@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, ranges, ready, scratch, text_slices, written
+from .common import components, free_name, ranges, ready, release_shuffles, scratch, text_slices, written
 
 SEED = 42
 #: Keys with more fingerprints than this are linked through shared neighbours instead of pairs.
@@ -209,8 +209,14 @@ def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int
 
 
 def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks: DataFrame) -> DataFrame:
+    def table(df: DataFrame) -> DataFrame:
+        """``df`` written, and the shuffle files behind it free to go: this search shuffles more than it needs at any time."""
+        out = written(df)
+        release_shuffles(texts.sparkSession)
+        return out
+
     def shingle_sets(col: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-        for at, data, offsets in text_slices(col, 1 << 20):
+        for at, data, offsets in text_slices(col, 1 << 18):
             raw, ends = data.tobytes(), offsets.tolist()
             yield at, [distinct_shingles(shingle_hashes(raw[a:b], words_per_shingle)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -245,7 +251,7 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
     every = Window.partitionBy("k")
     new = F.coalesce(F.lag("check").over(every.orderBy("check")) != F.col("check"), F.lit(True))
     keys = texts.mapInArrow(prefixes, "k long, check long, n int, at int").withColumn("new", new)
-    shared = written(keys.withColumn("c", F.sum(F.col("new").cast("int")).over(every)).where("new AND c > 1").drop("new"))
+    shared = table(keys.withColumn("c", F.sum(F.col("new").cast("int")).over(every)).where("new AND c > 1").drop("new"))
 
     def within(a: str, b: str) -> Column:
         """Whether bitmaps leave a similarity of 4/5 possible: then at most a ninth of all shingles are of one text only."""
@@ -271,20 +277,20 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
 
     few = shared.where(F.col("c") <= crowd_limit)
     crowds = shared.where(F.col("c") > crowd_limit).drop("c")
-    pairs = written(meet(few, few, F.col("a.check") < F.col("b.check")))
+    pairs = table(meet(few, few, F.col("a.check") < F.col("b.check")))
     x, y = marks.withColumnRenamed("check", "a").alias("x"), marks.withColumnRenamed("check", "b").alias("y")
-    pairs = written(pairs.join(x, "a").join(y, "b").where(within("x", "y")).select("a", "b"))
-    used = written(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
+    pairs = table(pairs.join(x, "a").join(y, "b").where(within("x", "y")).select("a", "b"))
+    used = table(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
     one = texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id"))
-    one = listed(written(one))
-    whole = written(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
-    edges = written(alike(pairs))
+    one = listed(table(one))
+    whole = table(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
+    edges = table(alike(pairs))
     if crowds.isEmpty():
         return edges
-    crowds = written(crowds.join(marks.select("check", "bits"), "check"))
+    crowds = table(crowds.join(marks.select("check", "bits"), "check"))
 
     def labelled(found: DataFrame) -> DataFrame:
-        return written(crowds.join(found, F.col("check") == F.col("node"), "left").withColumn("label", F.coalesce("component", "check")).drop("node", "component"))
+        return table(crowds.join(found, F.col("check") == F.col("node"), "left").withColumn("label", F.coalesce("component", "check")).drop("node", "component"))
 
     found = components(edges)
     now = labelled(found)
@@ -293,7 +299,7 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
         # One lead for each text, the first possible one in the order of all its shingles, so pairs are as many as texts at most.
         first = now.alias("a").join(written(lead).alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("label") != F.col("own")) & within("a", "b")).groupBy("check").agg(F.min(F.struct("order", "of")).alias("m"))
         pairs = first.select(F.least("check", "m.of").alias("a"), F.greatest("check", "m.of").alias("b")).distinct()
-        more = written(alike(written(pairs)))
+        more = table(alike(written(pairs)))
         edges = edges.unionByName(more)
         # The stars found so far stand for all earlier edges.
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
