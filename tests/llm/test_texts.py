@@ -275,4 +275,4 @@ def test_pipeline_stages(spark):
 
 def test_registered_names():
     names = list(queries.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
