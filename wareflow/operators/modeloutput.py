@@ -87,3 +87,16 @@ def audit(products: DataFrame, pairs: str = "raw_specs", order: str = "row_order
     values = top.groupBy("category", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias("samples"))
     counts = flat.groupBy("category", "key").agg(F.countDistinct(order).alias("n"))
     return counts.join(totals, "category").join(values, ["category", "key"]).select("category", "key", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"), "samples")
+
+
+def histograms(products: DataFrame, normalised: str = "normalized_specs", status: str = "spec_status", warn: str = "parse_warnings") -> DataFrame:
+    """(category, kind, name, n, pct): products, spec statuses, warnings and normalised fields of each category, counted in one aggregate.
+
+    pct is of the category's products. A missing status counts as unknown.
+    """
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    listed = lambda kind, names: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: entry(kind, x))
+    every = F.concat(F.array(entry("product", F.lit("all")), entry("status", F.coalesce(status, F.lit("unknown")))), listed("warning", F.col(warn)), listed("field", F.map_keys(normalised)))
+    n = products.select("category", F.explode(every).alias("e")).groupBy("category", "e.kind", "e.name").agg(F.count("*").alias("n"))
+    total = n.where("kind = 'product'").select("category", F.col("n").alias("total"))
+    return n.join(total, "category").select("category", "kind", "name", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))

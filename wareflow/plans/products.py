@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wareflow.operators import documents, filters, index, ingest, prices
+from wareflow.functions import specs
+from wareflow.operators import documents, filters, index, ingest, modeloutput, prices
 
 from .catalog import _LATEST, TIE
 from .registry import Tables, query
@@ -246,3 +247,53 @@ def wide_spec_merge(t: Tables):
     new = new.withColumn("gpu_model", F.when(F.col("product_type") != "medium", F.col("gpu_model")))
     out = merge.upsert(old, merge.fold_batch(new, "product_id", "row_order", ingest.WIDE_WHOLE, ingest.WIDE_SCALARS, []), "product_id", ingest.WIDE_WHOLE, ingest.WIDE_SCALARS, [])
     return out.select("product_id", "ram_gb", "gpu_model", F.array_join("ports", ",").alias("ports"))
+
+
+@query("""WITH l AS (SELECT product_id, CASE WHEN cpu_model LIKE 'Core%' THEN 'Intel ' || cpu_model WHEN cpu_model IS NOT NULL THEN 'AMD ' || cpu_model END AS cpu, upper(CASE WHEN gpu_model LIKE 'GeForce%' THEN gpu_model[9:] ELSE gpu_model[8:] END) AS gpu, gpu_vram_gb, socket, ram_type, ram_gb, recommended_psu_w, screen_inches, refresh_rate_hz FROM item_specs)
+SELECT product_id, cpu, gpu, gpu_vram_gb AS vram_gb, CASE WHEN gpu_vram_gb > 0 THEN 'GDDR6X' END AS vram_type, socket, ram_type, CASE WHEN ram_gb > 0 THEN 2 END AS modules, recommended_psu_w AS watt, CASE WHEN recommended_psu_w > 0 THEN '80 Plus Gold' END AS grade,
+CAST(screen_inches AS VARCHAR) AS inches, CAST(refresh_rate_hz AS VARCHAR) AS hz, CASE WHEN cpu IS NOT NULL THEN 4.6 END AS ghz, CASE WHEN socket IS NOT NULL THEN 'B660M' END AS chipset FROM l""", "item_specs")
+def hardware_lines(t: Tables):
+    """Fields read back from product lines that are put together from them."""
+    s = t.item_specs
+    vendor = F.when(F.col("cpu_model").startswith("Core"), "Intel ").otherwise("AMD ")
+    text_of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = F.col
+    parts = [
+        text_of(vendor, c("cpu_model"), " 3,5 GHz up to 4.6GHz"),
+        text_of(F.coalesce("gpu_model", F.lit("")), ", VRAM ", F.coalesce("gpu_vram_gb", F.lit(0)), "GB"),
+        F.when(c("gpu_vram_gb") > 0, "gddr6x 256bit"),
+        text_of("Socket ", c("socket"), " B660M-A"),
+        text_of("RAM ", c("ram_gb"), "GB (2 x ", (c("ram_gb") / 2).cast("int"), "GB) ", c("ram_type"), " 3200MHz"),
+        text_of(c("recommended_psu_w"), "W 80 Plus Gold"),
+        text_of(c("screen_inches"), " inch ", F.coalesce(text_of(c("refresh_rate_hz"), "Hz"), F.lit(""))),
+    ]
+    line = F.concat_ws(" / ", *parts)
+    rows = s.select("product_id", line.alias("line"))
+    read = {
+        "cpu": specs.cpu_model, "gpu": specs.gpu_model, "vram_type": specs.vram_type, "socket": specs.socket, "ram_type": specs.ram_type, "modules": specs.module_count,
+        "watt": specs.wattage, "grade": specs.efficiency, "ghz": specs.max_ghz, "chipset": specs.chipset,
+    }
+    measured = {"inches": lambda x: specs.measure(x, "INCH"), "hz": lambda x: specs.measure(x, "HZ"), "vram_gb": lambda x: F.nullif(specs.vram_gb(x), F.lit(0))}
+    return rows.select("product_id", *[f(F.col("line")).alias(k) for k, f in {**read, **measured}.items()])
+
+
+@query("""SELECT product_id, product_type AS category, CASE WHEN ram_gb > 0 THEN 'ok' ELSE 'partial' END AS status, array_to_string(list_filter([CASE WHEN COALESCE(ram_gb, 0) = 0 THEN 'no_ram' END, CASE WHEN gpu_model IS NULL THEN 'no_gpu' END], lambda x: x IS NOT NULL), ',') AS w FROM item_specs""", "item_specs")
+def spec_states(t: Tables):
+    """Status and warnings of each item as the histograms count them."""
+    return _states(t).select("product_id", "category", F.col("spec_status").alias("status"), F.array_join("parse_warnings", ",").alias("w"))
+
+
+def _states(t: Tables) -> DataFrame:
+    s = t.item_specs
+    warn = F.array_compact(F.array(F.when(F.coalesce("ram_gb", F.lit(0)) == 0, "no_ram"), F.when(F.col("gpu_model").isNull(), "no_gpu")))
+    kept = ["model", "socket", "ram_gb", "gpu_model"]
+    pairs = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))) for k in kept])))
+    return s.select("product_id", F.col("product_type").alias("category"), F.when(F.col("ram_gb") > 0, "ok").otherwise("partial").alias("spec_status"), warn.alias("parse_warnings"), pairs.alias("normalized_specs"))
+
+
+@query("""WITH s AS (SELECT product_type AS category, * FROM item_specs), e AS (SELECT category, 'product' AS kind, 'all' AS name FROM s UNION ALL SELECT category, 'status', CASE WHEN ram_gb > 0 THEN 'ok' ELSE 'partial' END FROM s UNION ALL SELECT category, 'warning', 'no_ram' FROM s WHERE COALESCE(ram_gb, 0) = 0 UNION ALL SELECT category, 'warning', 'no_gpu' FROM s WHERE gpu_model IS NULL
+UNION ALL SELECT category, 'field', 'model' FROM s WHERE model IS NOT NULL UNION ALL SELECT category, 'field', 'socket' FROM s WHERE socket IS NOT NULL UNION ALL SELECT category, 'field', 'ram_gb' FROM s WHERE ram_gb IS NOT NULL UNION ALL SELECT category, 'field', 'gpu_model' FROM s WHERE gpu_model IS NOT NULL)
+SELECT category, kind, name, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM s WHERE s.category = e.category), 2) AS pct FROM e GROUP BY 1, 2, 3""", "item_specs")
+def audit_histograms(t: Tables):
+    """Products, statuses, warnings and normalised fields of each category."""
+    return modeloutput.histograms(_states(t))
