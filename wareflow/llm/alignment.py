@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,6 +325,24 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy().astype(np.int64) for c in df.toArrow().columns]
 
 
+#: Rows of a batch when aligned texts are read back: a row holds lists as long as its text.
+READ_ROWS = 256
+_BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Read and send READ_ROWS rows at once in the jobs run inside; the session's own numbers come back."""
+    own = {k: spark.conf.get(k) for k in _BATCHES}
+    try:
+        for k, n in own.items():
+            spark.conf.set(k, min(int(n), READ_ROWS) if int(n) > 0 else READ_ROWS)
+        yield
+    finally:
+        for k, n in own.items():
+            spark.conf.set(k, n)
+
+
 def score_links(aligned: DataFrame, column: str = "aligned", sent_pairs: int = SENT_PAIRS) -> DataFrame:
     """Replace ``column`` by n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256.
 
@@ -334,6 +353,11 @@ def score_links(aligned: DataFrame, column: str = "aligned", sent_pairs: int = S
     """
     spark = aligned.sparkSession
     ready(spark)
+    with _small_batches(spark):
+        return _scored(spark, aligned, column, sent_pairs)
+
+
+def _scored(spark: SparkSession, aligned: DataFrame, column: str, sent_pairs: int) -> DataFrame:
     counts = written(pair_counts(aligned, column))
     bound = frequent_bound(counts, "n", sent_pairs)
     best = counts.groupBy(F.shiftright("pair", 32).cast("int").alias("a")).agg(F.max("n").alias("n"))
@@ -369,7 +393,7 @@ def score_links(aligned: DataFrame, column: str = "aligned", sent_pairs: int = S
 
     found = aligned.mapInArrow(run, schema)
     if bound <= 1:  # every pair was sent
-        return found.drop("rare")
+        return written(found.drop("rare"))
     found = written(found.withColumn("_row", F.monotonically_increasing_id()))
     rare = found.select("_row", F.explode("rare").alias("r")).select("_row", "r.*").join(counts.where(F.col("n") < bound), "pair")
     usual = rare.join(best.select("a", F.col("n").alias("top")), F.shiftright("pair", 32).cast("int") == F.col("a"))
