@@ -90,7 +90,7 @@ def test_keep_first(spark):
     assert kept == Counter([1, 2, 2, 5, 6, None])
 
 
-def test_keep_first_of_edited_copies(spark):
+def test_keep_first_of_edited_copies(spark, monkeypatch):
     rng = random.Random(11)
     words, tail = [f"w{i}" for i in range(2000)], "this common line is in every one of the texts here".split()
     base = [rng.choices(words, k=rng.choice([3, 12, 60, 300])) for _ in range(30)]
@@ -121,6 +121,10 @@ def test_keep_first_of_edited_copies(spark):
     some = simhash.similar_texts(df.select("doc_id", F.xxhash64("text").alias("check"), "text"), crowd_limit=2).collect()
     some = {tuple(sorted((checks[r.a], checks[r.b]))) for r in some}
     assert some < want and closure(sets, some) == closure(sets, want)
+    # The same pairs, compared in parts.
+    monkeypatch.setattr(simhash, "PART_PAIRS", 20)
+    found = simhash.similar_texts(df.select("doc_id", F.xxhash64("text").alias("check"), "text")).collect()
+    assert {tuple(sorted((checks[r.a], checks[r.b]))) for r in found} == want
 
 
 def brute_removed(texts, length, first):

@@ -29,6 +29,8 @@ PAIR_LIMIT = 16
 ORDER_TEXTS = 4000
 #: Texts that share a shingle from which on they are compared with leads first, and the number of rounds of leads.
 CROWD_LIMIT, LEADS = 24, 3
+#: Pairs of one part of a comparison, and most parts, whose number doesn't grow with the texts.
+PART_PAIRS, PARTS = 1 << 13, 8
 #: Longs of the bitmap of a text's shingles, which rules out pairs without their shingles.
 BITMAP_LONGS = 8
 #: Texts to compare, of 16 bytes each, whose list goes to the texts; beyond it both are shuffled by hash.
@@ -269,7 +271,15 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
         return F.broadcast(some) if some.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else some
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of written ``pairs`` the similar ones; only the shingles of their texts are shuffled where the pairs are few."""
+        """Of written ``pairs`` the similar ones. Many pairs go in parts, one after the other, as each carries a set of shingles on its way."""
+        parts = min(PARTS, -(-pairs.count() // PART_PAIRS))
+        if parts <= 1:
+            return compared(pairs)
+        own = F.pmod(F.xxhash64("a", "b"), F.lit(parts))
+        return reduce(DataFrame.unionByName, [table(compared(table(pairs.where(own == k)))) for k in range(parts)])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Only the shingles of the pairs' texts are shuffled where the pairs are few."""
         needed = listed(written(pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()))
         sets = whole.join(needed, "check", "left_semi")
         both = pairs.join(sets.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
