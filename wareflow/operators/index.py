@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wareflow.functions.text import words
 
-from . import filters, serving
+from . import filters
 
 BUCKETS = 32
 K1, B = 1.2, 0.75
@@ -251,7 +251,7 @@ def search_products(index: Index, queries: DataFrame, documents: DataFrame, keep
     found = matches(index, queries).withColumnRenamed("doc", "id").join(allowed, "id")
     empty = queries.where(F.size(words(F.coalesce("text", F.lit("")))) == 0).select("query_id")
     flat = {c: F.lit(0) for c in ("words", "typo", "proximity", "attribute", "exactness")}
-    every = empty.join(allowed.withColumns(flat))  # what an empty query asks for
+    every = empty.join(allowed.withColumns(flat))  # a product of both, as that is what empty queries ask for
     return found.unionByName(every.select(*found.columns))
 
 
@@ -325,4 +325,4 @@ def envelope(answers: DataFrame, documents: DataFrame, facets: list[str], number
     )
 
 
-__all__ = ["Index", "all_terms", "best_by_parent", "best_chunks", "bm25", "envelope", "facets_of", "matches", "page_of", "ranked", "relevance", "search_products", "serving", "with_fallback"]
+__all__ = ["Index", "all_terms", "best_by_parent", "best_chunks", "bm25", "envelope", "facets_of", "matches", "page_of", "ranked", "relevance", "saved", "search_products", "with_fallback"]
