@@ -78,6 +78,13 @@ def test_alignment_equals_by_hand(docs, sent):
     same(alignment.score_links(table, sent_pairs=sent).collect(), want)
 
 
+def test_alignment_keeps_texts_that_end_in_one_space(spark):
+    rows = [(1, "word "), (2, " "), (3, "two  "), (4, "line\n "), (5, "漢 "), (6, "the word the ")]
+    got = alignment.report(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
+    assert all(r.n_a and r.n_b for r in got)
+    same(got, aligned_by_hand(rows))
+
+
 def test_alignment_groups_cover_the_text(spark):
     df = spark.createDataFrame([(1, "Hello wörld", "k"), (2, None, "k")], "doc_id long, text string, A_IDS string")
     one, none = alignment.align(df, A, B).orderBy("doc_id").collect()
