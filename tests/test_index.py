@@ -69,6 +69,19 @@ def test_page_and_facets(spark, built):
     assert facets == {(0, "brand", "Acer"): 2, (0, "brand", "Dell"): 1, (0, "ram_gb", "16"): 1, (0, "ram_gb", "32"): 1, (0, "ram_gb", "8"): 1, (1, "brand", "Acer"): 2, (1, "ram_gb", "16"): 1, (1, "ram_gb", "32"): 1}
 
 
+def test_equal_texts_are_ranked_once(spark, built):
+    _, idx = built
+    q, seen = spark.createDataFrame([(k, "Laptop ") for k in range(40)] + [(40, None), (41, "gaming"), (42, " ")], "query_id long, text string"), []
+
+    def first_two(texts):
+        seen.append(sorted(r.text for r in texts.collect()))
+        return index.ranked(index.matches(idx, texts).withColumnRenamed("doc", "id"), 2, index.relevance())
+
+    got = {(r.query_id, r.rank): r.id for r in index.each_text(q, first_two).collect()}
+    want = {(r.query_id, r.rank): r.id for r in index.ranked(index.matches(idx, q).withColumnRenamed("doc", "id"), 2, index.relevance()).collect()}
+    assert got == want and len(got) > 80 and seen == [["", "gaming", "laptop"]]
+
+
 def test_update_equals_rebuild(spark, built, tmp_path):
     docs, idx = built
     new = spark.createDataFrame([("e", "Màn hình Dell", "Dell", None, 1, None), ("f", "Laptop cũ", None, [None, "Laptop"], 1, None)], SCHEMA)

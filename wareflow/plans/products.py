@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,28 +98,29 @@ def questions(t: Tables) -> DataFrame:
 @query(f"WITH {_RANKED} SELECT query_id, rank, id, words, typo, proximity, attribute, exactness FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typo, proximity, attribute, exactness DESC, id) AS rank FROM hits) WHERE rank <= 10", _SEARCH)
 def ranked_search(t: Tables):
     """The ten best products of each query by words, typos, nearness, field and exactness, from the stored index."""
-    found = index.matches(product_index(t), questions(t)).withColumnRenamed("doc", "id")
-    return index.ranked(found, 10, index.relevance()).select("query_id", "rank", "id", "words", "typo", "proximity", "attribute", "exactness")
+    found = lambda q: index.matches(product_index(t), q).withColumnRenamed("doc", "id")
+    return index.each_text(questions(t), lambda q: index.ranked(found(q), 10, index.relevance())).select("query_id", "rank", "id", "words", "typo", "proximity", "attribute", "exactness")
 
 
 _KEEP = {"price_min": 500, "ram_min": 16, "ram_max": 88}
 _KEPT = "source = 'shop' AND price_vnd >= 500 AND ram_gb >= 16 AND ram_gb <= 88"
 
 
-def _hits(t: Tables) -> DataFrame:
-    return index.search_products(product_index(t), questions(t), product_documents(t), filters.catalog_filter(_KEEP, source="shop"))
+def _hits(t: Tables, asked: DataFrame) -> DataFrame:
+    return index.search_products(product_index(t), asked, product_documents(t), filters.catalog_filter(_KEEP, source="shop"))
 
 
 @query(f"WITH {_RANKED}, h AS (SELECT hits.*, ram_gb FROM hits JOIN d USING (id) WHERE {_KEPT}), n AS (SELECT query_id, count(*) AS total_hits FROM h GROUP BY 1) SELECT query_id, rank, id, ram_gb, total_hits, CAST(ceil(total_hits / 5.0) AS BIGINT) AS total_pages FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typo, proximity, attribute, ram_gb DESC NULLS LAST, exactness DESC, id) AS rank FROM h) JOIN n USING (query_id) WHERE rank BETWEEN 6 AND 10", _SEARCH)
 def search_page(t: Tables):
     """Second page of filtered hits, the larger memory first among equally relevant ones."""
-    return index.page_of(_hits(t), index.relevance("ram_desc"), 2, 5).select("query_id", "rank", "id", "ram_gb", "total_hits", "total_pages")
+    page = lambda q: index.page_of(_hits(t, q), index.relevance("ram_desc"), 2, 5)
+    return index.each_text(questions(t), page).select("query_id", "rank", "id", "ram_gb", "total_hits", "total_pages")
 
 
 @query(f"WITH {_RANKED}, h AS (SELECT query_id, brand, category, ram_gb FROM hits JOIN d USING (id) WHERE {_KEPT}) SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n FROM h WHERE brand IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT query_id, 'category', category, count(*) FROM h WHERE category IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT query_id, 'ram_gb', CAST(ram_gb AS VARCHAR), count(*) FROM h WHERE ram_gb IS NOT NULL GROUP BY 1, 3", _SEARCH)
 def search_facets(t: Tables):
     """Facets of the filtered hits of each query, all in one aggregate."""
-    return index.facets_of(_hits(t), documents.FACETS)
+    return index.each_text(questions(t), lambda q: index.facets_of(_hits(t, q), documents.FACETS))
 
 
 _CHUNKS = """ck AS (SELECT p_partkey * 2 AS doc, id AS parent, name || ' | brand=' || brand || ' | category=' || category AS content FROM items UNION ALL SELECT p_partkey * 2 + 1, id, COALESCE(cpu_model, '') || '; ' || COALESCE(gpu_model, '') || '; ' || product_type || ' ' || lower(name) FROM items JOIN item_specs ON id = product_id),
@@ -151,11 +153,14 @@ def live_items(t: Tables) -> DataFrame:
     return rows.where(price > 1).select("id", price.alias("price_vnd"), "brand", "category")
 
 
-def _products(t: Tables, scored: DataFrame) -> DataFrame:
-    live = live_items(t)
-    best = index.best_by_parent(scored, live.select(F.col("id").alias("parent"))).withColumnRenamed("parent", "id")
-    paged = index.page_of(best, [F.desc("score"), F.col("id")], 1, 10)
-    return paged.join(live, "id").select("query_id", "rank", "id", "doc", "score", "price_vnd", "total_hits", "total_pages")
+def _products(t: Tables, find: Callable[[index.Index, DataFrame], DataFrame]) -> DataFrame:
+    live, idx = live_items(t), chunk_index(t)
+
+    def page(q: DataFrame) -> DataFrame:
+        best = index.best_by_parent(find(idx, q), live.select(F.col("id").alias("parent"))).withColumnRenamed("parent", "id")
+        return index.page_of(best, [F.desc("score"), F.col("id")], 1, 10).join(live, "id")
+
+    return index.each_text(questions(t), page).select("query_id", "rank", "id", "doc", "score", "price_vnd", "total_hits", "total_pages")
 
 
 def _page_sql(scores: str) -> str:
@@ -166,19 +171,19 @@ SELECT query_id, rank, id, doc, score, price_vnd, total_hits, CAST(ceil(total_hi
 @query(f"WITH {_LATEST}, {_CHUNKS}, {_page_sql('bm')}", _SEARCH)
 def bm25_products(t: Tables):
     """Products by their best text's BM25 score, active, priced and of the wanted brands, with totals."""
-    return _products(t, index.bm25(chunk_index(t), questions(t)))
+    return _products(t, index.bm25)
 
 
 @query(f"WITH {_LATEST}, {_CHUNKS}, {_page_sql('ft')}", _SEARCH)
 def all_terms_products(t: Tables):
     """Products with a text that holds every word of the query."""
-    return _products(t, index.all_terms(chunk_index(t), questions(t)))
+    return _products(t, index.all_terms)
 
 
 @query(f"WITH {_LATEST}, {_CHUNKS} SELECT query_id, rank, doc, score, content[:40] AS content FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM ft) JOIN ck USING (doc) WHERE rank <= 20", _SEARCH)
 def best_texts(t: Tables):
     """The twenty best texts of each query, cut to ten tokens."""
-    return index.best_chunks(index.all_terms(chunk_index(t), questions(t)), item_chunks(t), 20, 10)
+    return index.each_text(questions(t), lambda q: index.best_chunks(index.all_terms(chunk_index(t), q), item_chunks(t), 20, 10))
 
 
 @query(
@@ -195,10 +200,9 @@ SELECT q.query_id, source, COALESCE(source <> 'index', true) AS fallback, COALES
 def search_envelopes(t: Tables):
     """One result envelope for each query: exact matches of the index, else texts with all words, else BM25."""
     docs = product_documents(t).where("source = 'shop'").select(F.col("product_id").alias("id"), F.col("id").alias("index_id"), "brand", "category")
-    asked = questions(t)
-    size = asked.select("query_id", F.size(index.words(F.col("text"))).alias("n"))
 
     def exact(q: DataFrame) -> DataFrame:
+        size = q.select("query_id", F.size(index.words(F.col("text"))).alias("n"))
         found = index.matches(product_index(t), q).join(size, "query_id").where("words = n AND typo = 0")
         return found.join(docs, F.col("doc") == F.col("index_id")).select("query_id", "id", F.col("words").alias("score"))
 
@@ -209,8 +213,8 @@ def search_envelopes(t: Tables):
     folder = f"{shelf(t, 'answers', 'part')}/{uuid.uuid4().hex}"
     save = lambda df, name: index.saved(df, f"{folder}/{name}")
     docs = save(docs, "documents")
-    answers = index.with_fallback(asked, {"index": exact, "all_terms": by_text(index.all_terms), "bm25": by_text(index.bm25)}, save)
-    out = index.envelope(answers, docs, ["brand", "category"], 1, 5)
+    forms = {"index": exact, "all_terms": by_text(index.all_terms), "bm25": by_text(index.bm25)}
+    out = index.each_text(questions(t), lambda q: index.envelope(index.with_fallback(q, forms, save), docs, ["brand", "category"], 1, 5))
     return out.select("query_id", "source", "fallback", "total_hits", "total_pages", F.array_join("hits", ",").alias("hits"), F.size("facets").cast("long").alias("n_facets"))
 
 
