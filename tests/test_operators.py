@@ -301,3 +301,22 @@ def test_cells_find_nearest(spark):
         got = {(r.query_id, r.vec_id) for r in retrieval.cosine_cells(t).collect()}
         want = {(r.query_id, r.vec_id) for r in search.cosine_top_k(retrieval.every_twentieth(t), t.embeddings, 5).collect()}
         assert len(got & want) >= 0.9 * len(want)
+
+
+def test_classes_give_what_their_edges_give(spark):
+    rng = random.Random(5)
+    left = spark.createDataFrame([(f"c{k:03}", rng.choice("xyz")) for k in range(24)] + [("both", "x"), ("two", "x")], "id string, socket string")
+    right = spark.createDataFrame([(f"m{k:03}", rng.choice("xyzw")) for k in range(17)] + [("both", "x"), ("two", "x")], "id string, socket string")
+    # Items on both sides meet each other twice in the product, and are one edge each way.
+    edges = graph.equal_key_edges(left, right, "socket", "socket").distinct()
+    classes = graph.key_classes(left, right, "socket", "socket")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    seeds = left.select("id")
+    for depth, limit in ((1, 5), (2, 4), (2, 30), (3, 200)):
+        assert rows(graph.class_paths(classes, seeds, depth, limit)) == rows(graph.neighbours(edges, seeds, depth, limit=limit)), (depth, limit)
+    nodes = left.select("id").union(right.select("id")).distinct().where("id NOT IN ('c003', 'm004', 'm011', 'both', 'two')")
+    assert rows(graph.class_dangling(classes, nodes, 3)) == rows(graph.dangling(edges, nodes).select("src", "dst", "rule"))
+    assert graph.class_coverage(classes.where("side = 0"), nodes).count() == 0
+    apart = graph.key_classes(left.where("id LIKE 'c%'"), right.where("id LIKE 'm%'"), "socket", "socket")
+    plain = edges.where("src NOT IN ('both', 'two') AND dst NOT IN ('both', 'two')")
+    assert rows(graph.class_coverage(apart, nodes)) == rows(graph.statistics(plain, nodes))
