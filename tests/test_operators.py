@@ -320,3 +320,10 @@ def test_classes_give_what_their_edges_give(spark):
     apart = graph.key_classes(left.where("id LIKE 'c%'"), right.where("id LIKE 'm%'"), "socket", "socket")
     plain = edges.where("src NOT IN ('both', 'two') AND dst NOT IN ('both', 'two')")
     assert rows(graph.class_coverage(apart, nodes)) == rows(graph.statistics(plain, nodes))
+
+
+def test_large_classes_make_no_pairs(spark):
+    many = spark.range(40_000).select(F.concat(F.lit("a"), "id").alias("id"), F.lit("s").alias("socket"))
+    classes = graph.key_classes(many, many.withColumn("id", F.concat(F.lit("b"), "id")), "socket", "socket")
+    assert graph.class_coverage(classes, classes).first().n_edges == 2 * 40_000**2
+    assert graph.class_paths(classes, many.limit(3), 2).count() == 600 and graph.class_neighbours(classes, many.limit(1000), 50).count() == 50_000
