@@ -327,3 +327,10 @@ def test_large_classes_make_no_pairs(spark):
     classes = graph.key_classes(many, many.withColumn("id", F.concat(F.lit("b"), "id")), "socket", "socket")
     assert graph.class_coverage(classes, classes).first().n_edges == 2 * 40_000**2
     assert graph.class_paths(classes, many.limit(3), 2).count() == 600 and graph.class_neighbours(classes, many.limit(1000), 50).count() == 50_000
+
+
+def test_substitutes_are_counted_by_price(spark):
+    rows = [(k, k % 3 or None, [100.0, 80.0, 79.99, 125.0, 125.01, -4.0, 0.0, None][k % 8]) for k in range(200)]
+    items = spark.createDataFrame(rows, "id long, role int, price double")
+    want = graph.substitute_edges(items).groupBy("src").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, graph.substitute_counts(items).collect())) == sorted(map(tuple, want.collect()))
