@@ -25,13 +25,14 @@ def facets(hits: DataFrame, columns: list[str]) -> DataFrame:
 def related(seeds: DataFrame, products: DataFrame, k: int, recency: str) -> DataFrame:
     """(seed, id, rank): the k newest other products of each seed's category, for all seeds at once.
 
-    The k + 1 newest of each category are found first, so the join with the seeds stays small.
+    The k + 1 newest of each category are listed first, in one row that all its seeds take; they are sent to all tasks, so seeds stay where they are.
     """
     newest = Window.partitionBy("category").orderBy(F.col(recency).desc(), "id")
     top = products.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= k + 1).select("category", "id", recency, "_n")
-    pairs = seeds.select(F.col("id").alias("seed"), "category").join(top, "category").where("seed <> id")
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("_n"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("seed", "id", "rank")
+    lists = top.groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "id"))), lambda x: x["id"]).alias("ids"))
+    others = F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, k)
+    pairs = seeds.select("id", "category").join(F.broadcast(lists), "category").select(F.col("id").alias("seed"), F.posexplode(others).alias("rank", "id"))
+    return pairs.select("seed", "id", (F.col("rank") + 1).alias("rank"))
 
 
 def grouped_specs(values: DataFrame) -> DataFrame:
