@@ -346,3 +346,10 @@ def test_requests_are_not_shuffled_for_their_picks(spark):
     assert [r.options for r in bundles.ranked(asked, cand, 2).collect()] == [["c7", "c1"]]
     plan = bundles.picks(asked, cand)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_lines_are_read_once(spark):
+    from wareflow.plans import registry
+
+    plan = registry.QUERIES["hardware_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [line" in plan

@@ -273,12 +273,15 @@ def hardware_lines(t: Tables):
     ]
     line = F.concat_ws(" / ", *parts)
     rows = s.select("product_id", line.alias("line"))
+    # Equal lines are read once.
+    lines = rows.select("line").distinct()
     read = {
         "cpu": specs.cpu_model, "gpu": specs.gpu_model, "vram_type": specs.vram_type, "socket": specs.socket, "ram_type": specs.ram_type, "modules": specs.module_count,
         "watt": specs.wattage, "grade": specs.efficiency, "ghz": specs.max_ghz, "chipset": specs.chipset,
     }
     measured = {"inches": lambda x: specs.measure(x, "INCH"), "hz": lambda x: specs.measure(x, "HZ"), "vram_gb": lambda x: F.nullif(specs.vram_gb(x), F.lit(0))}
-    return rows.select("product_id", *[f(F.col("line")).alias(k) for k, f in {**read, **measured}.items()])
+    fields = lines.select("line", *[f(F.col("line")).alias(k) for k, f in {**read, **measured}.items()])
+    return rows.join(fields, "line").drop("line")
 
 
 @query("""SELECT product_id, product_type AS category, CASE WHEN ram_gb > 0 THEN 'ok' ELSE 'partial' END AS status, array_to_string(list_filter([CASE WHEN COALESCE(ram_gb, 0) = 0 THEN 'no_ram' END, CASE WHEN gpu_model IS NULL THEN 'no_gpu' END], lambda x: x IS NOT NULL), ',') AS w FROM item_specs""", "item_specs")
