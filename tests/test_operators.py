@@ -353,3 +353,12 @@ def test_equal_lines_are_read_once(spark):
 
     plan = registry.QUERIES["hardware_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [line" in plan
+
+
+def test_query_words_are_kept_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(1, "laptop gaming laptop"), (2, "gaming"), (3, ""), (4, None), (5, "other words here")], "doc_id long, text string")
+    q = spark.createDataFrame([("a", "laptop"), ("a", "gaming"), ("b", "none")], "query_id string, term string")
+    every = search.tokens(docs, "doc_id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(search.bm25_of(docs, "doc_id", "text", q, 10)) == rows(search.bm25(every, q, 10)) != []
+    assert rows(search.tokens(docs, "doc_id", "text", q)) == rows(every.where("term IN ('laptop', 'gaming')"))
