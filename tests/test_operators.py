@@ -362,3 +362,8 @@ def test_query_words_are_kept_before_the_shuffle(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(search.bm25_of(docs, "doc_id", "text", q, 10)) == rows(search.bm25(every, q, 10)) != []
     assert rows(search.tokens(docs, "doc_id", "text", q)) == rows(every.where("term IN ('laptop', 'gaming')"))
+
+
+def test_script_counts_equal_the_whole_extraction(spark):
+    df = spark.createDataFrame([("u1", "<script>a</script><p>x<script type='application/ld+json'>{}</script>"), ("u2", None), ("u3", "<p>" * 50)], "url string, html string")
+    assert sorted(map(tuple, pages.script_counts(df).collect())) == sorted((r.url, r.n_scripts) for r in pages.extract(df).collect()) == [("u1", 2), ("u2", 0), ("u3", 0)]

@@ -43,8 +43,8 @@ def pages_selection(t: Tables):
 @query("SELECT page_id, url, len(regexp_extract_all(html, '<script')) AS n_scripts FROM pages")
 def page_scripts(t: Tables):
     """Markup scan of every page: number of script elements."""
-    raw = pages.extract(t.pages)
-    return t.pages.select("page_id", "url").join(raw.select("url", "n_scripts").dropDuplicates(), "url").select("page_id", "url", F.col("n_scripts").cast("long").alias("n_scripts"))
+    raw = pages.script_counts(t.pages)
+    return t.pages.select("page_id", "url").join(raw.dropDuplicates(), "url").select("page_id", "url", F.col("n_scripts").cast("long").alias("n_scripts"))
 
 
 @query()

@@ -19,6 +19,8 @@ from wareflow.session import importable
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MAX_IMAGES = 20
+#: Pages whose strings a task holds before it hands them on.
+HELD_PAGES = 64
 RAW_SCHEMA = "url string, title string, h1 string, og_title string, json_ld string, body string, links array<string>, images array<string>, pairs array<struct<key: string, value: string>>, crumbs array<string>, n_scripts int"
 
 
@@ -122,16 +124,36 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for u, h in zip(batch["u"], batch["h"], strict=True):
+            for at in range(0, len(batch), HELD_PAGES):
+                part = batch.iloc[at : at + HELD_PAGES]
+                rows = []
+                for u, h in zip(part["u"], part["h"], strict=True):
+                    p = PageText()
+                    p.feed(h or "")
+                    p.close()
+                    g = p.got
+                    rows.append(g | {"url": u, "json_ld": product_json(g["json_ld"]), "body": " ".join("".join(g["body"]).split())})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW_SCHEMA.split(", ") if not c.startswith("value")])
+
+    return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, RAW_SCHEMA)
+
+
+def script_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, n_scripts) of each page by the same parser, whose other strings never leave the page they are of."""
+
+    importable(pages.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = []
+            for h in batch["h"]:
                 p = PageText()
                 p.feed(h or "")
                 p.close()
-                g = p.got
-                rows.append(g | {"url": u, "json_ld": product_json(g["json_ld"]), "body": " ".join("".join(g["body"]).split())})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW_SCHEMA.split(", ") if not c.startswith("value")])
+                counts.append(p.got["n_scripts"])
+            yield pd.DataFrame({"url": batch["u"], "n_scripts": counts})
 
-    return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, RAW_SCHEMA)
+    return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "url string, n_scripts int")
 
 
 def records(raw: DataFrame) -> DataFrame:
