@@ -368,3 +368,10 @@ def test_query_words_are_kept_before_the_shuffle(spark):
 def test_script_counts_equal_the_whole_extraction(spark):
     df = spark.createDataFrame([("u1", "<script>a</script><p>x<script type='application/ld+json'>{}</script>"), ("u2", None), ("u3", "<p>" * 50)], "url string, html string")
     assert sorted(map(tuple, pages.script_counts(df).collect())) == sorted((r.url, r.n_scripts) for r in pages.extract(df).collect()) == [("u1", 2), ("u2", 0), ("u3", 0)]
+
+
+def test_bundle_items_are_put_together_once(spark):
+    from wareflow.plans import registry
+
+    plan = registry.QUERIES["bundle_evaluation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "bundle-items" in plan and "lineitem.parquet" not in plan
