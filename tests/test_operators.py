@@ -172,6 +172,28 @@ def test_cosine_refuses_long_query_lists(spark):
         search.cosine_top_k(q, v, 2, max_queries=3)
 
 
+def test_nearest_by_products_is_exact(spark, tmp_path):
+    rng = random.Random(9)
+    draw = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    common, near = draw(), draw()
+    rows = [draw() for _ in range(150)] + [common] * 60 + [[x * (1 + 1e-9 * rng.random()) for x in near] for _ in range(60)]
+    rows += [None, [0.0] * 6, [None] + [1.0] * 5, [1.0, 2.0], [float("nan")] * 6, [float("inf")] + [1.0] * 5, [2 * x for x in common]]
+    rng.shuffle(rows)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(rows)] + [(7, draw()), (7, common)], "vec_id long, embedding array<double>")
+    # Every third row, so that all kinds ask: 60 near copies are more than the spare vectors, and some ids occur twice.
+    q = v.where("vec_id % 3 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    plain = lambda df: sorted((r.query_id, r.rank, r.vec_id, str(r.cosine)) for r in df.collect())
+    want = plain(search.cosine_top_k(q, v, 5))
+    assert plain(search.cosine_nearest(q, v, 5, str(tmp_path), few_pairs=0)) == want
+    assert plain(search.cosine_nearest(q, v, 5, str(tmp_path), block=20)) == want
+    assert search.cosine_nearest(q, v.where("vec_id < 0"), 5, str(tmp_path), few_pairs=0).count() == 0
+    whole = v.where("NOT exists(embedding, x -> isnan(x) OR abs(x) = double('inf')) AND size(embedding) = 6")
+    index, model = search.cell_index(whole, 4)
+    some = q.join(whole.select(F.col("vec_id").alias("query_id")).distinct(), "query_id")
+    assert plain(search.probe_top_k(some, index, model, 5, 2, str(tmp_path), few_pairs=0)) == plain(search.probe_top_k(some, index, model, 5, 2, str(tmp_path)))
+    assert plain(search.probe_top_k(some, index, model, 5, 4, str(tmp_path), few_pairs=0)) == plain(search.cosine_top_k(some, whole, 5))
+
+
 PAGE = """<html><head><title>t</title><script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "PC A", "sku": "S1", "brand": {"name": "ACME"}, "offers": {"price": "1990000.0", "availability": "https://schema.org/InStock"}}]}</script></head>
 <body><ol class="breadcrumb"><li>Home</li><li>Laptop</li></ol><h1>Other</h1><table><tr><td>CPU</td><td>i5</td></tr><tr><th>RAM</th><td>16GB</td></tr><tr><td>SSD</td><td>512GB</td></tr></table><img src="a.png"><img src="a.png"></body></html>"""
 LISTS = "<html><body><h1>Chuột không dây</h1><p>Giá 450.000 đ. Còn hàng. Bảo hành 12 tháng.</p><dl><dt>DPI</dt><dd>1600</dd></dl><ul><li>Kết nối: Bluetooth</li><li>Màu: đen</li></ul></body></html>"
