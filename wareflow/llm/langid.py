@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -109,8 +109,11 @@ class Model:
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> None:
-        """Fit on (buckets, counts, language number); every fifth row is kept for the temperature."""
+    def fit(self, rows: Iterable[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> None:
+        """Fit on (buckets, counts, language number); every fifth row is kept for the temperature. A ``Sample`` is fitted in a task."""
+        if isinstance(rows, Sample):
+            self.weights, self.temperature = rows.fitted(self, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+            return
         data = [(np.append(w, np.array(BUCKETS, w.dtype)), np.append(self.features(w, c), 1.0), y) for w, c, y in rows if len(w)]
         order = np.random.default_rng(7).permutation(len(data))
         held = [data[k] for k in order[::5]] if len(data) >= 20 else data
@@ -141,6 +144,34 @@ class Model:
         self.temperature = float(min(best * np.exp(np.linspace(-0.1, 0.1, 21)), key=loss))
 
 
+class Sample:
+    """Rows (lang, k, n) of a DataFrame as (buckets, counts, language number), read as one iterates; ``fitted`` leaves them to one task."""
+
+    def __init__(self, rows: DataFrame, languages: list[str]):
+        self.rows, self.number = rows, {lang: i for i, lang in enumerate(languages)}
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for r in self.rows.toLocalIterator():
+            yield np.array(r.k, np.int32), np.array(r.n, np.int32), self.number[r.lang]
+
+    def fitted(self, model: Model, **rates: float) -> tuple[np.ndarray, float]:
+        """Weights and temperature. The sample is bounded, so one task holds it; the driver gets the weights alone."""
+        languages, idf, number = model.languages, model.idf, self.number
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Fit on all rows, in the same order whatever the order of tasks."""
+            rows = []
+            for batch in batches:
+                lang, ks, ns = batch.column("lang").to_pylist(), batch.column("k"), batch.column("n")
+                rows += [(ks[i].values.to_numpy(), ns[i].values.to_numpy(), number[lang[i]]) for i in range(len(lang))]
+            own = Model(languages, idf)
+            own.fit(sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())), **rates)
+            yield pa.RecordBatch.from_pydict({"weights": pa.array([own.weights.tobytes()], pa.binary()), "temperature": pa.array([own.temperature])})
+
+        made = self.rows.repartition(1).mapInArrow(run, "weights binary, temperature double").first()
+        return np.frombuffer(made.weights, np.float64).reshape(model.weights.shape), made.temperature
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -195,23 +226,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 rows = [*counted(data, offsets), *counted(short, ends)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(langs + langs, pa.string()), "k": pa.array([w.astype(np.int32) for w, _ in rows], pa.list_(pa.int32())), "n": pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))})
 
-    number = {lang: i for i, lang in enumerate(model.languages)}
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fit on all rows of the sample, in the same order whatever the order of tasks."""
-        rows = []
-        for batch in batches:
-            lang, ks, ns = batch.column("lang").to_pylist(), batch.column("k"), batch.column("n")
-            rows += [(ks[i].values.to_numpy(), ns[i].values.to_numpy(), number[lang[i]]) for i in range(len(lang))]
-        own = Model(model.languages, model.idf)
-        own.fit(sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())))
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([own.weights.tobytes()], pa.binary()), "temperature": pa.array([own.temperature])})
-
-    # The sample is bounded, so one task holds it; the driver gets the weights alone.
-    rows = sample.mapInArrow(features, "lang string, k array<int>, n array<int>").repartition(1)
-    made = rows.mapInArrow(fitted, "weights binary, temperature double").first()
-    model.weights = np.frombuffer(made.weights, np.float64).reshape(model.weights.shape)
-    model.temperature = made.temperature
+    model.fit(Sample(sample.mapInArrow(features, "lang string, k array<int>, n array<int>"), model.languages))
     return model
 
 
