@@ -244,3 +244,13 @@ def test_resampling_sql(spark):
     want = con.sql(queries.oracle_sql()["op13_importance_resampling"])
     assert want.columns == df.columns
     same(df.collect(), want.fetchall())
+
+
+def test_key_search_is_binary_search():
+    rng = np.random.default_rng(3)
+    far = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    for keys in (np.unique(far), np.arange(3000), np.array([-(1 << 63), -1, 0, (1 << 63) - 1]), np.array([5]), far[:0]):
+        asked = np.concatenate([keys, keys - 1, far, np.arange(-5, 3005), np.array([-(1 << 63), (1 << 63) - 1])])
+        place, there = suffixtree.Keys(keys).found(asked)
+        want = np.isin(asked, keys)
+        assert (there == want).all() and (keys[place[there]] == asked[there]).all()
