@@ -311,3 +311,43 @@ def test_parity_bitmap_never_differs_in_more_bits_than_sets_in_members():
         differ = int(np.bitwise_count((simhash.parity_bitmap(a) ^ simhash.parity_bitmap(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b))
     assert not simhash.parity_bitmap(np.zeros(0, np.int64)).any()
+
+
+def test_fine_bitmaps_fold_and_never_differ_in_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 127, 129, 2100):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        b = np.unique(np.concatenate([a, rng.integers(-(1 << 63), 1 << 63, n // 5)]))
+        x, y = simhash.fine_bitmap(a), simhash.fine_bitmap(b)
+        assert len(x) in (len(y), len(y) // 2) and 64 * len(x) >= simhash.FINE_BITS * n
+        if len(x) < len(y):
+            y = y[: len(x)] ^ y[len(x) :]
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+        assert (np.bitwise_xor.reduce(x.reshape(-1, simhash.BITMAP_LONGS)) == simhash.parity_bitmap(a)).all()
+
+
+def test_shingles_of_long_texts_are_read_only_where_they_may_be_similar(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(6):  # four texts each that share three quarters of their shingles, more than a short bitmap has bits
+        common = [f"c{rng.getrandbits(40)}" for _ in range(850)]
+        texts += [" ".join(common + [f"o{rng.getrandbits(40)}" for _ in range(250)]) for _ in range(4)]
+    words = texts[0].split(" ")
+    texts.append(" ".join(words[:-100]))  # nine tenths, with half the bits
+    texts.append(" ".join(words[5:]))
+    read, written = [], simhash.written
+
+    def counted(df, *args, **kw):
+        out = written(df, *args, **kw)
+        if "h" in out.columns:
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("check"), "text")
+    of = {r.check: r.doc_id for r in df.collect()}
+    found = {tuple(sorted((of[r.a], of[r.b]))) for r in simhash.similar_texts(df).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert found == want == {(0, 24), (0, 25), (24, 25)}
+    assert sum(read) == 3

@@ -33,6 +33,8 @@ CROWD_LIMIT, LEADS = 24, 3
 PART_PAIRS, PARTS = 1 << 13, 8
 #: Longs of the bitmap of a text's shingles, which rules out pairs without their shingles.
 BITMAP_LONGS = 8
+#: Bits for each shingle, at least, of a text's fine bitmap. Pairs that the short one leaves are compared by it before their shingles are read.
+FINE_BITS = 4
 #: Texts to compare, of 16 bytes each, whose list goes to the texts; beyond it both are shuffled by hash.
 BROADCAST_TEXTS = 1_000_000
 
@@ -61,6 +63,14 @@ def parity_bitmap(hashes: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap that grows with the number of hashes, by powers of two: its halves, combined by XOR, are the next smaller one."""
+    longs = BITMAP_LONGS
+    while 64 * longs < FINE_BITS * len(hashes):
+        longs *= 2
+    return parity_bitmap(hashes, longs)
+
+
 def fingerprint_of(raw: bytes, words_per_shingle: int = 3) -> int:
     """64-bit SimHash of UTF-8 bytes."""
     return majority(shingle_hashes(raw, words_per_shingle))
@@ -78,7 +88,7 @@ def distinct_shingles(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per_shingle: int = 3, marks: bool = False) -> DataFrame:
     """Replace column ``text`` by its SimHash ``out`` (long, the 64 bits as a signed number).
 
-    With ``marks`` also columns n, the number of different shingles, and bits, their parity bitmap.
+    With ``marks`` also columns n, the number of different shingles, and bits and fine, their short and fine parity bitmaps.
 
     Null and empty texts get zero; fewer words than a shingle has make one shingle. Whole texts count.
     """
@@ -87,7 +97,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, sizes, bits = [], [], []
+            values, sizes, bits, fine = [], [], [], []
             for _, data, offsets in text_slices(batch.column(text)):
                 raw, ends = data.tobytes(), offsets.tolist()
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
@@ -96,11 +106,12 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words_per
                     if marks:
                         own = distinct_shingles(hashes)
                         sizes.append(len(own))
-                        bits.append(parity_bitmap(own))
+                        fine.append(fine_bitmap(own))
+                        bits.append(np.bitwise_xor.reduce(fine[-1].reshape(-1, BITMAP_LONGS)))
             cols = {f.name: batch.column(f.name) for f in fields} | {out: pa.array(np.array(values, np.uint64).view(np.int64))}
-            yield pa.RecordBatch.from_pydict(cols | ({"n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.list_(pa.int64()))} if marks else {}))
+            yield pa.RecordBatch.from_pydict(cols | ({"n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.list_(pa.int64())), "fine": pa.array(fine, pa.list_(pa.int64()))} if marks else {}))
 
-    more = [T.StructField("n", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType()))] if marks else []
+    more = [T.StructField("n", T.IntegerType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("bits", "fine")]] if marks else []
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.LongType()), *more]))
 
 
@@ -198,15 +209,15 @@ def similar_texts(docs: DataFrame, words_per_shingle: int = 5, crowd_limit: int
     lengths or places don't rule the similarity out are compared. Where they are more than ``crowd_limit``, all are compared
     with a few leads, and then those outside the largest component with all of other components, so that a
     group of near copies costs about as many comparisons as it has members. Bitmaps of their shingles rule most pairs of
-    unlike texts out before their shingles are read, which loses no link; ``marks`` (check, n, bits) are those of ``fingerprints``. The order puts shingles that a sample of
-    texts shares last; which these are changes the cost only.
+    unlike texts out before their shingles are read, which loses no link; ``marks`` (check, n, bits, fine) are those of ``fingerprints``,
+    a written table. Short bitmaps go with every shingle, but say little of texts with more shingles than they have bits; fine ones, of the pairs' texts alone, decide
+    whose shingles are read. The order puts shingles that a sample of texts shares last; which these are changes the cost only.
     """
     spark = docs.sparkSession
     ready(spark)
     with scratch(spark):
         if marks is None:
-            marks = fingerprints(docs.select("check", "text"), words_per_shingle=words_per_shingle, marks=True)
-        marks = written(marks.select("check", "n", "bits").dropDuplicates(["check"]))
+            marks = written(fingerprints(docs.select("check", "text"), words_per_shingle=words_per_shingle, marks=True))
         return written(_similar(docs, words_per_shingle, crowd_limit, marks).distinct(), keep=True)
 
 
@@ -250,6 +261,7 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(own)), "check": check, "n": pa.array(np.array([len(h) for h in sets], np.int32)[of]), "at": pa.array(ranges(np.zeros(len(m), np.int64), m).astype(np.int32))})
 
     # One shuffle: rows of a shingle lie side by side, so copies and shingles of one text are told by their neighbours.
+    short = written(marks.select("check", "n", "bits").dropDuplicates(["check"]))
     every = Window.partitionBy("k")
     new = F.coalesce(F.lag("check").over(every.orderBy("check")) != F.col("check"), F.lit(True))
     keys = texts.mapInArrow(prefixes, "k long, check long, n int, at int").withColumn("new", new)
@@ -270,34 +282,53 @@ def _similar(texts: DataFrame, words_per_shingle: int, crowd_limit: int, marks:
         """``some``, a written table of few longs a row, to be broadcast if it is small, so that the other side stays where it is."""
         return F.broadcast(some) if some.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else some
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return listed(written(pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()))
+
+    def carried(pairs: DataFrame, some: DataFrame, value: str) -> DataFrame:
+        """``pairs`` with x and y, the values of their two texts."""
+        x, y = [some.select(F.col("check").alias(c), F.col(value).alias(v)) for c, v in (("a", "x"), ("b", "y"))]
+        return pairs.join(x, "a").join(y, "b")
+
+    def finely() -> Column:
+        """``within`` by fine bitmaps; of texts that may be similar one's has at most twice the bits of the other's."""
+        longs = F.least(F.size("x.fine"), F.size("y.fine"))
+
+        def folded(fine: str) -> Column:
+            halves = F.zip_with(F.slice(fine, F.lit(1), longs), F.slice(fine, longs + 1, longs), lambda u, v: u.bitwiseXOR(v))
+            return F.when(F.size(fine) > longs, halves).otherwise(F.col(fine))
+
+        differ = F.aggregate(F.zip_with(folded("x.fine"), folded("y.fine"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, m: n + m)
+        return (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")) & (9 * differ <= F.col("x.n") + F.col("y.n"))
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of written ``pairs`` the similar ones. Many pairs go in parts, one after the other, as each carries a set of shingles on its way."""
-        parts = min(PARTS, -(-pairs.count() // PART_PAIRS))
-        if parts <= 1:
-            return compared(pairs)
+        """Of written ``pairs`` the similar ones. Many that fine bitmaps leave go in parts, one after the other, as each carries a set of shingles on its way."""
+        near = table(carried(pairs, fine.join(ends(pairs), "check", "left_semi"), "m").where(finely()).select("a", "b"))
+        parts = min(PARTS, -(-near.count() // PART_PAIRS))
+        if not parts:
+            return near
+        o = listed(written(one.join(ends(near), "check", "left_semi"))).alias("o")
+        sets = table(sets_of(texts.alias("t").join(o, (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
+        if parts == 1:
+            return compared(near, sets)
         own = F.pmod(F.xxhash64("a", "b"), F.lit(parts))
-        return reduce(DataFrame.unionByName, [table(compared(table(pairs.where(own == k)))) for k in range(parts)])
+        return reduce(DataFrame.unionByName, [table(compared(some, sets.join(ends(some), "check", "left_semi"))) for some in [table(near.where(own == k)) for k in range(parts)]])
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Only the shingles of the pairs' texts are shuffled where the pairs are few."""
-        needed = listed(written(pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct()))
-        sets = whole.join(needed, "check", "left_semi")
-        both = pairs.join(sets.select(F.col("check").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("check").alias("b"), F.col("h").alias("y")), "b")
-        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return carried(pairs, sets, "h").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
     few = shared.where(F.col("c") <= crowd_limit)
     crowds = shared.where(F.col("c") > crowd_limit).drop("c")
     pairs = table(meet(few, few, F.col("a.check") < F.col("b.check")))
-    x, y = marks.withColumnRenamed("check", "a").alias("x"), marks.withColumnRenamed("check", "b").alias("y")
+    x, y = short.withColumnRenamed("check", "a").alias("x"), short.withColumnRenamed("check", "b").alias("y")
     pairs = table(pairs.join(x, "a").join(y, "b").where(within("x", "y")).select("a", "b"))
     used = table(pairs.select(F.explode(F.array("a", "b")).alias("check")).unionByName(crowds.select("check")).distinct())
-    one = texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id"))
-    one = listed(table(one))
-    whole = table(sets_of(texts.alias("t").join(one.alias("o"), (F.col("t.check") == F.col("o.check")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")))
+    one = table(texts.select("doc_id", "check").join(used, "check", "left_semi").groupBy("check").agg(F.min("doc_id").alias("doc_id")))
+    fine = table(marks.join(listed(used), "check", "left_semi").dropDuplicates(["check"]).select("check", F.struct("n", "fine").alias("m")))
     edges = table(alike(pairs))
     if crowds.isEmpty():
         return edges
-    crowds = table(crowds.join(marks.select("check", "bits"), "check"))
+    crowds = table(crowds.join(short.select("check", "bits"), "check"))
 
     def labelled(found: DataFrame) -> DataFrame:
         return table(crowds.join(found, F.col("check") == F.col("node"), "left").withColumn("label", F.coalesce("component", "check")).drop("node", "component"))
