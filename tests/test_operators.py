@@ -359,6 +359,20 @@ def test_substitutes_are_counted_by_price(spark):
     assert sorted(map(tuple, graph.substitute_counts(items).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_substitutes_are_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, 1, 2]), rng.choice([None, -1.0, 0.0, 80.0, 100.0, 125.0, 79.99, round(rng.uniform(1, 300), 2)])) for _ in range(300)]
+    items = spark.createDataFrame(rows, "id long, role int, price double")
+    near = lambda x, y: x[1] is not None and x[1] == y[1] and (x[2] or 0) > 0 and (y[2] or 0) > 0 and abs(x[2] - y[2]) <= 0.2 * max(x[2], y[2])
+    pairs = [(x[0], y[0]) for x in rows for y in rows if x[0] is not None and y[0] is not None and x[0] != y[0] and near(x, y)]
+    want = {x: sum(p[0] == x for p in pairs) for x, _ in pairs}
+    assert {r.src: r.n for r in graph.substitute_counts(items).collect()} == want
+    got = [(r.src, r.dst) for r in graph.substitute_edges(items).collect()]
+    assert sorted(got) == sorted(set(pairs))
+    plan = graph.substitute_counts(items)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(src") == 1
+
+
 def test_requests_are_not_shuffled_for_their_picks(spark):
     cols = "category string, variant string, id string, price_vnd long, stock_status string, gpu_vram_gb int, cpu_cores int, ram_gb int"
     cand = spark.createDataFrame([("cpu", "any", f"c{k}", 100 * (k % 7 + 1), "in_stock" if k % 2 else None, None, 4 + k, None) for k in range(20)], cols)
