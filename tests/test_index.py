@@ -82,6 +82,60 @@ def test_equal_texts_are_ranked_once(spark, built):
     assert got == want and len(got) > 80 and seen == [["", "gaming", "laptop"]]
 
 
+def many(spark, tmp_path):
+    """60 documents of which many are equal but for id, price and memory; an index of them; queries."""
+    rows = [(f"{k:02}", *DOCS[k % 5][1:4], k % 7, (k * 5) % 3 * 8 or None) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    q = spark.createDataFrame([(0, "laptop"), (1, "lapotp gaming"), (2, ""), (3, None), (4, "may tinh xyz"), (5, "zzz"), (6, "Laptop")], "query_id int, text string")
+    return docs, index.Index.build(docs, str(tmp_path / "index"), FIELDS, buckets=4), q
+
+
+def test_kinds_give_the_pages_and_facets_of_all_hits(spark, tmp_path):
+    docs, idx, q = many(spark, tmp_path)
+    kept = docs.where("price_vnd > 0")
+    hits = index.search_products(idx, q, docs, F.col("price_vnd") > 0)
+    members, values = index.product_kinds(idx, q, kept, lambda df, name: index.saved(df, str(tmp_path / name)))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for sort in ("relevance", "price_desc", "ram_desc"):
+        shown = ["query_id", "rank", "id", "ram_gb", *index.VALUES, "total_hits", "total_pages"]
+        own = [c for c in index.relevance(sort)[4:-2]] + [F.col("id")]
+        for number, limit in ((1, 3), (2, 5), (5, 7)):
+            got = index.page_of_kinds(members, values, index.relevance(sort), own, number, limit).select(*shown)
+            assert rows(got) == rows(index.page_of(hits, index.relevance(sort), number, limit).select(*shown)) != []
+    assert rows(index.facets_of_kinds(members, values, ["brand", "ram_gb"])) == rows(index.facets_of(hits, ["brand", "ram_gb"])) != []
+    # A query has a row for each kind of the five documents, not for each hit.
+    assert values.count() <= 7 * 5 < hits.count() / 3
+
+
+def test_kinds_of_texts_give_the_best_texts_of_parents(spark, tmp_path):
+    texts = ["laptop gaming", "laptop laptop cũ", "gaming", "màn hình", "laptop gaming gaming chuột"]
+    docs = spark.createDataFrame([(k, f"p{k // 2 % 20:02}", texts[k * k % 5]) for k in range(80)], "doc long, parent string, content string")
+    idx = index.Index.build(docs, str(tmp_path / "index"), ["content"], "doc", "parent", buckets=4)
+    q = asked(spark, "laptop gaming", "laptop", "", "zzz", "gaming zzz")
+    parents = docs.where("parent <> 'p03'").select(F.col("parent").alias("id")).distinct()
+    members = index.text_kinds(idx, q, parents, lambda df, name: index.saved(df, str(tmp_path / name)))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "doc", "score").collect()))
+    for how, scores in (("all_terms", index.all_terms(idx, q)), ("bm25", index.bm25(idx, q))):
+        values = index.text_values(idx, q, members, how)
+        got = values.join(members, "held").withColumn("doc", F.element_at("docs", F.col("k").cast("int")))
+        want = index.best_by_parent(scores, parents.withColumnRenamed("id", "parent")).withColumnRenamed("parent", "id")
+        assert rows(got) == rows(want) != [] and values.count() < got.count()
+    with pytest.raises(ValueError):
+        index.text_values(idx, q, members, "best")
+
+
+def test_envelope_of_kinds_is_that_of_all_hits(spark):
+    q = asked(spark, "x", "y", "z")
+    members = spark.createDataFrame([("a", f"{k:02}", "AB"[k % 2]) for k in range(9)] + [("b", "99", "C"), ("c", "00", None)], "held string, id string, brand string")
+    form = lambda rows: lambda left: left.join(spark.createDataFrame(rows, "query_id int, id string, score double"), "query_id").drop("text")
+    answers = index.with_fallback(q, {"first": form([(0, "a", 1.0), (0, "b", 2.0)]), "second": form([(0, "c", 9.0), (1, "a", 1.0)])})
+    each = answers.withColumnRenamed("id", "held").join(members.select("held", "id"), "held", "left").drop("held")
+    got = index.envelope_of_kinds(answers, members, ["brand"], 1, 4)
+    want = index.envelope(each, members.where("held <> 'c'").drop("held"), ["brand"], 1, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.query_id: (r.total_hits, r.hits) for r in got.collect()} == {0: (10, ["99", "00", "01", "02"]), 1: (9, ["00", "01", "02", "03"]), 2: (0, [])}
+
+
 def test_update_equals_rebuild(spark, built, tmp_path):
     docs, idx = built
     new = spark.createDataFrame([("e", "Màn hình Dell", "Dell", None, 1, None), ("f", "Laptop cũ", None, [None, "Laptop"], 1, None)], SCHEMA)

@@ -32,7 +32,9 @@ def stored(t: Tables, name: str, table: str, rows, fields: list[str], key: str,
     if there.getFileSystem(t.spark._jsc.hadoopConfiguration()).exists(there):
         return index.Index(t.spark, path, fields)
     # Another folder for an attempt that may have ended midway; the mark comes last.
-    made = index.Index.build(rows(), path, fields, key, parent)
+    # The texts are made once, as a table: words, places and lengths each read them several times.
+    texts = index.saved(rows().select(key, *([parent] if parent else []), *fields), f"{path}/texts/{uuid.uuid4().hex}")
+    made = index.Index.build(texts, path, fields, key, parent)
     t.spark.range(1).write.mode("overwrite").parquet(f"{path}/ready")
     return made
 
@@ -106,6 +108,12 @@ _KEEP = {"price_min": 500, "ram_min": 16, "ram_max": 88}
 _KEPT = "source = 'shop' AND price_vnd >= 500 AND ram_gb >= 16 AND ram_gb <= 88"
 
 
+def saver(t: Tables) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables of one run under a folder of their own beside the index."""
+    folder = f"{shelf(t, 'answers', 'part')}/{uuid.uuid4().hex}"
+    return lambda df, name: index.saved(df, f"{folder}/{name}")
+
+
 def _hits(t: Tables, asked: DataFrame) -> DataFrame:
     return index.search_products(product_index(t), asked, product_documents(t), filters.catalog_filter(_KEEP, source="shop"))
 
@@ -153,12 +161,13 @@ def live_items(t: Tables) -> DataFrame:
     return rows.where(price > 1).select("id", price.alias("price_vnd"), "brand", "category")
 
 
-def _products(t: Tables, find: Callable[[index.Index, DataFrame], DataFrame]) -> DataFrame:
+def _products(t: Tables, how: str) -> DataFrame:
     live, idx = live_items(t), chunk_index(t)
 
     def page(q: DataFrame) -> DataFrame:
-        best = index.best_by_parent(find(idx, q), live.select(F.col("id").alias("parent"))).withColumnRenamed("parent", "id")
-        return index.page_of(best, [F.desc("score"), F.col("id")], 1, 10).join(live, "id")
+        members = index.text_kinds(idx, q, live, saver(t))
+        best = index.page_of_kinds(members, index.text_values(idx, q, members, how), [F.desc("score"), F.col("id")], [F.col("id")], 1, 10)
+        return best.withColumn("doc", F.element_at("docs", F.col("k").cast("int")))
 
     return index.each_text(questions(t), page).select("query_id", "rank", "id", "doc", "score", "price_vnd", "total_hits", "total_pages")
 
@@ -171,13 +180,13 @@ SELECT query_id, rank, id, doc, score, price_vnd, total_hits, CAST(ceil(total_hi
 @query(f"WITH {_LATEST}, {_CHUNKS}, {_page_sql('bm')}", _SEARCH)
 def bm25_products(t: Tables):
     """Products by their best text's BM25 score, active, priced and of the wanted brands, with totals."""
-    return _products(t, index.bm25)
+    return _products(t, "bm25")
 
 
 @query(f"WITH {_LATEST}, {_CHUNKS}, {_page_sql('ft')}", _SEARCH)
 def all_terms_products(t: Tables):
     """Products with a text that holds every word of the query."""
-    return _products(t, index.all_terms)
+    return _products(t, "all_terms")
 
 
 @query(f"WITH {_LATEST}, {_CHUNKS} SELECT query_id, rank, doc, score, content[:40] AS content FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM ft) JOIN ck USING (doc) WHERE rank <= 20", _SEARCH)
