@@ -118,10 +118,16 @@ def _hits(t: Tables, asked: DataFrame) -> DataFrame:
     return index.search_products(product_index(t), asked, product_documents(t), filters.catalog_filter(_KEEP, source="shop"))
 
 
+def _kinds(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kept = product_documents(t).where(filters.catalog_filter(_KEEP, source="shop")).select("id", *documents.FACETS)
+    return index.product_kinds(product_index(t), asked, kept, saver(t))
+
+
 @query(f"WITH {_RANKED}, h AS (SELECT hits.*, ram_gb FROM hits JOIN d USING (id) WHERE {_KEPT}), n AS (SELECT query_id, count(*) AS total_hits FROM h GROUP BY 1) SELECT query_id, rank, id, ram_gb, total_hits, CAST(ceil(total_hits / 5.0) AS BIGINT) AS total_pages FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typo, proximity, attribute, ram_gb DESC NULLS LAST, exactness DESC, id) AS rank FROM h) JOIN n USING (query_id) WHERE rank BETWEEN 6 AND 10", _SEARCH)
 def search_page(t: Tables):
     """Second page of filtered hits, the larger memory first among equally relevant ones."""
-    page = lambda q: index.page_of(_hits(t, q), index.relevance("ram_desc"), 2, 5)
+    own = index.filters.sort_order("ram_desc")
+    page = lambda q: index.page_of_kinds(*_kinds(t, q), index.relevance("ram_desc"), own, 2, 5)
     return index.each_text(questions(t), page).select("query_id", "rank", "id", "ram_gb", "total_hits", "total_pages")
 
 
