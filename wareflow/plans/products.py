@@ -114,10 +114,6 @@ def saver(t: Tables) -> Callable[[DataFrame, str], DataFrame]:
     return lambda df, name: index.saved(df, f"{folder}/{name}")
 
 
-def _hits(t: Tables, asked: DataFrame) -> DataFrame:
-    return index.search_products(product_index(t), asked, product_documents(t), filters.catalog_filter(_KEEP, source="shop"))
-
-
 def _kinds(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = product_documents(t).where(filters.catalog_filter(_KEEP, source="shop")).select("id", *documents.FACETS)
     return index.product_kinds(product_index(t), asked, kept, saver(t))
@@ -134,7 +130,7 @@ def search_page(t: Tables):
 @query(f"WITH {_RANKED}, h AS (SELECT query_id, brand, category, ram_gb FROM hits JOIN d USING (id) WHERE {_KEPT}) SELECT query_id, 'brand' AS facet, brand AS value, count(*) AS n FROM h WHERE brand IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT query_id, 'category', category, count(*) FROM h WHERE category IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT query_id, 'ram_gb', CAST(ram_gb AS VARCHAR), count(*) FROM h WHERE ram_gb IS NOT NULL GROUP BY 1, 3", _SEARCH)
 def search_facets(t: Tables):
     """Facets of the filtered hits of each query, all in one aggregate."""
-    return index.each_text(questions(t), lambda q: index.facets_of(_hits(t, q), documents.FACETS))
+    return index.each_text(questions(t), lambda q: index.facets_of_kinds(*_kinds(t, q), documents.FACETS))
 
 
 _CHUNKS = """ck AS (SELECT p_partkey * 2 AS doc, id AS parent, name || ' | brand=' || brand || ' | category=' || category AS content FROM items UNION ALL SELECT p_partkey * 2 + 1, id, COALESCE(cpu_model, '') || '; ' || COALESCE(gpu_model, '') || '; ' || product_type || ' ' || lower(name) FROM items JOIN item_specs ON id = product_id),
