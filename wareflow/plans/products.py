@@ -210,22 +210,21 @@ SELECT q.query_id, source, COALESCE(source <> 'index', true) AS fallback, COALES
 )
 def search_envelopes(t: Tables):
     """One result envelope for each query: exact matches of the index, else texts with all words, else BM25."""
+    save = saver(t)
     docs = product_documents(t).where("source = 'shop'").select(F.col("product_id").alias("id"), F.col("id").alias("index_id"), "brand", "category")
-
-    def exact(q: DataFrame) -> DataFrame:
-        size = q.select("query_id", F.size(index.words(F.col("text"))).alias("n"))
-        found = index.matches(product_index(t), q).join(size, "query_id").where("words = n AND typo = 0")
-        return found.join(docs, F.col("doc") == F.col("index_id")).select("query_id", "id", F.col("words").alias("score"))
-
-    def by_text(find):
-        parents = docs.select(F.col("id").alias("parent"))
-        return lambda q: index.best_by_parent(find(chunk_index(t), q), parents).select("query_id", F.col("parent").alias("id"), "score")
-
-    folder = f"{shelf(t, 'answers', 'part')}/{uuid.uuid4().hex}"
-    save = lambda df, name: index.saved(df, f"{folder}/{name}")
-    docs = save(docs, "documents")
-    forms = {"index": exact, "all_terms": by_text(index.all_terms), "bm25": by_text(index.bm25)}
-    out = index.each_text(questions(t), lambda q: index.envelope(index.with_fallback(q, forms, save), docs, ["brand", "category"], 1, 5))
+    kind = lambda form: F.concat(F.lit(form), F.col("held").cast("string"))
+
+    def answer(q: DataFrame) -> DataFrame:
+        members, values = index.product_kinds(product_index(t), q, docs, save, "index_id")
+        exact = values.where("n > 0 AND words = n AND typo = 0").select("query_id", kind("index").alias("id"), F.col("words").alias("score"))
+        texts = index.text_kinds(chunk_index(t), q, members.drop("index_id", "held"), save)
+        by_text = lambda how: lambda left: index.text_values(chunk_index(t), left, texts, how).select("query_id", kind("text").alias("id"), "score")
+        forms = {"index": lambda left: exact, "all_terms": by_text("all_terms"), "bm25": by_text("bm25")}
+        shown = ["id", "brand", "category"]
+        both = members.select(kind("index").alias("held"), *shown).unionByName(texts.select(kind("text").alias("held"), *shown))
+        return index.envelope_of_kinds(index.with_fallback(q, forms, save), both, ["brand", "category"], 1, 5)
+
+    out = index.each_text(questions(t), answer)
     return out.select("query_id", "source", "fallback", "total_hits", "total_pages", F.array_join("hits", ",").alias("hits"), F.size("facets").cast("long").alias("n_facets"))
 
 
